@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import runs, shared_spans, topn
+from helixframe.llm import percentiles, runs, shared_spans, topn
 from helixframe.session import table
 
 
@@ -34,7 +34,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, sf_dir, "alignment_index"), ["movie_id", "hole_number"], "map_qv", "aln_id", 3).select("movie_id", "hole_number", "aln_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
+METRICS = ["ipd", "pulse_width", "quality_value"]
+PER_MILLE = [10, 100, 500, 900, 990, 999]
+
+
+def _select(summary: DataFrame) -> DataFrame:
+    """Percentiles per movie and, under a null movie_id with scope 'all', of all movies. rank_error is the stated bound."""
+    scoped = summary.select(F.lit("movie").alias("scope"), "movie_id", "field", "value", "cnt").unionByName(
+        percentiles.merge(summary, []).select(F.lit("all").alias("scope"), F.lit(None).cast("int").alias("movie_id"), "field", "value", "cnt")
+    )
+    found = percentiles.multi_select(scoped, ["scope", "movie_id", "field"], PER_MILLE)
+    return found.withColumn("rank_error", F.lit(0).cast("long"))
+
+
+def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "exp_group_metrics")
+    return _select(percentiles.summarise(rows, ["movie_id"], METRICS, ["aln_id", "base_offset"]))
+
+
+def p7_percentiles_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, combined from one summary per load_day."""
+    rows = table(spark, sf_dir, "exp_group_metrics")
+    days = percentiles.summarise(rows, ["movie_id"], METRICS, ["aln_id", "base_offset"], part=["load_day"])
+    return _select(percentiles.merge(days, ["movie_id"]))
+
+
+QUERIES = {"p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
 
 _P3 = """
 d AS (SELECT DISTINCT read_id, basecall FROM bas_reads WHERE length(basecall) >= 60),
@@ -56,7 +81,17 @@ e AS (SELECT read_id, CAST(min(p) AS INTEGER) AS first_base, CAST(max(p) AS INTE
       CAST(sum(wf) AS BIGINT) AS duration FROM r WHERE c <> 'N' AND q IS NOT NULL GROUP BY read_id, run HAVING count(*) >= 4)
 """
 
+_P7 = """WITH d AS (SELECT DISTINCT aln_id, base_offset, movie_id, ipd, pulse_width, quality_value FROM exp_group_metrics),
+l AS (SELECT movie_id, 'ipd' AS field, CAST(ipd AS DOUBLE) AS v FROM d UNION ALL SELECT movie_id, 'pulse_width', CAST(pulse_width AS DOUBLE) FROM d
+      UNION ALL SELECT movie_id, 'quality_value', CAST(quality_value AS DOUBLE) FROM d),
+s AS (SELECT 'movie' AS scope, movie_id, field, v FROM l WHERE v IS NOT NULL UNION ALL SELECT 'all', NULL, field, v FROM l WHERE v IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope, movie_id, field ORDER BY v) AS k, count(*) OVER (PARTITION BY scope, movie_id, field) AS n FROM s)
+SELECT scope, movie_id, field, q AS per_mille, v AS value, n, CAST(0 AS BIGINT) AS rank_error
+FROM r, (SELECT CAST(unnest([10, 100, 500, 900, 990, 999]) AS INTEGER) AS q) WHERE k = greatest(1, (n * q + 999) // 1000)"""
+
 SQL = {
+    "p7_percentiles": _P7,
+    "p7_percentiles_from_days": _P7,
     "p3_found": f"WITH {_P3} SELECT * FROM f",
     "p3_share": f"""WITH {_P3}, r AS (SELECT read_id, max(length(basecall)) AS n FROM bas_reads WHERE read_id IS NOT NULL GROUP BY read_id),
 t AS (SELECT read_id, sum(span_end - span_start) AS n, count(*) AS k FROM f GROUP BY read_id)
