@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import percentiles, runs, shared_spans, topn
+from helixframe.llm import leakage, percentiles, runs, shared_spans, topn
 from helixframe.session import table
 
 
@@ -59,7 +59,18 @@ def p7_percentiles_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(percentiles.merge(days, ["movie_id"]))
 
 
-QUERIES = {"p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = leakage.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return leakage.phrase_search(index, table(spark, sf_dir, "eval_items"), "item_id", "item_text", n=10)
+
+
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which the eight rarest words of an item stand within 30 words of the rarest."""
+    index = leakage.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return leakage.proximity_search(index, table(spark, sf_dir, "eval_items"), "item_id", "item_text", terms=8, within=30)
+
+
+QUERIES = {"p9_found": p9_found, "p9_near": p9_near, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
 
 _P3 = """
 d AS (SELECT DISTINCT read_id, basecall FROM bas_reads WHERE length(basecall) >= 60),
@@ -89,7 +100,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY scope, movie_id, field ORDER BY
 SELECT scope, movie_id, field, q AS per_mille, v AS value, n, CAST(0 AS BIGINT) AS rank_error
 FROM r, (SELECT CAST(unnest([10, 100, 500, 900, 990, 999]) AS INTEGER) AS q) WHERE k = greatest(1, (n * q + 999) // 1000)"""
 
+_P9 = r"""WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(regexp_replace(text, '[\x{AD}\x{200B}-\x{200D}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(regexp_replace(item_text, '[\x{AD}\x{200B}-\x{200D}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') FROM eval_items WHERE item_text IS NOT NULL),
+g AS (SELECT DISTINCT kind, id, array_to_string(list_slice(ws, p, p + 9), ' ') AS s FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 8)) AS p FROM w))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i'"""
+
 SQL = {
+    "p9_found": _P9,
     "p7_percentiles": _P7,
     "p7_percentiles_from_days": _P7,
     "p3_found": f"WITH {_P3} SELECT * FROM f",
