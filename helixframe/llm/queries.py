@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import leakage, percentiles, runs, shared_spans, topn
+from helixframe.llm import leakage, packing, percentiles, runs, shared_spans, topn
 from helixframe.session import table
 
 
@@ -70,7 +70,15 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.proximity_search(index, table(spark, sf_dir, "eval_items"), "item_id", "item_text", terms=8, within=30)
 
 
-QUERIES = {"p9_found": p9_found, "p9_near": p9_near, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
+CAPACITY = 2048
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = packing.measure(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
+    return packing.pack(items, ["doc_id", "piece"], "n_tokens", CAPACITY)
+
+
+QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
 
 _P3 = """
 d AS (SELECT DISTINCT read_id, basecall FROM bas_reads WHERE length(basecall) >= 60),
