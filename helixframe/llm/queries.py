@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import leakage, packing, percentiles, runs, shared_spans, topn
+from helixframe.llm import leakage, packing, percentiles, runs, shared_spans, spam, topn
 from helixframe.session import table
 
 
@@ -78,7 +78,20 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, ["doc_id", "piece"], "n_tokens", CAPACITY)
 
 
-QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
+def _page_model(spark: SparkSession, sf_dir: str) -> spam.Model:
+    return spam.calibrate(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "page_labels"), "page_label", "spam")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.junk_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _page_model(spark, sf_dir))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each document's words in junk stretches."""
+    return spam.junk_shares(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _page_model(spark, sf_dir))
+
+
+QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
 
 _P3 = """
 d AS (SELECT DISTINCT read_id, basecall FROM bas_reads WHERE length(basecall) >= 60),
