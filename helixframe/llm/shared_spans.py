@@ -223,13 +223,14 @@ def shared_spans(df: DataFrame, row_id: str, text: str, least: int = 60, heavy:
     rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least))
     found = cut(rows.mapInArrow(_cut_up(least), "word long, n short, body binary, id long, at int"))
     pieces = found.groupBy("word", "n", "body").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    large = found.groupBy("word").agg(F.count("*").alias("_c")).where(F.col("_c") > heavy).select("word")
-    schema = "word long, n short, body binary, s int, e int"
-    small = pieces.join(large, "word", "left_anti").select("word", "n", "body", "low", "high")
-    nodes = small.repartition("word").sortWithinPartitions("word").mapInArrow(_subtrees(least), schema)
-    split = pieces.join(large, "word").select("word", "n", "body", "low", "high").mapInArrow(_every_suffix(least), "word long, n short, body binary, low long, high long, place int, a long, b long")
-    deep = split.groupBy("a", "b").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h").select("a", "b")
-    nodes = nodes.unionByName(split.join(deep, ["a", "b"], "left_semi").select("word", "n", "body", F.col("place").alias("s"), (F.col("place") + least).alias("e")))
+    large = cut(found.groupBy("word").agg(F.count("*").alias("_c")).where(F.col("_c") > heavy).select("word"))
+    split_some = large.limit(1).count() > 0
+    small = pieces.join(large, "word", "left_anti").select("word", "n", "body", "low", "high") if split_some else pieces
+    nodes = small.repartition("word").sortWithinPartitions("word").mapInArrow(_subtrees(least), "word long, n short, body binary, s int, e int")
+    if split_some:
+        split = pieces.join(large, "word").select("word", "n", "body", "low", "high").mapInArrow(_every_suffix(least), "word long, n short, body binary, low long, high long, place int, a long, b long")
+        deep = split.groupBy("a", "b").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h").select("a", "b")
+        nodes = nodes.unionByName(split.join(deep, ["a", "b"], "left_semi").select("word", "n", "body", F.col("place").alias("s"), (F.col("place") + least).alias("e")))
     spans = found.join(nodes, ["word", "n", "body"]).select("id", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e")).distinct()
     w = Window.partitionBy("id").orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
