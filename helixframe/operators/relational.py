@@ -14,19 +14,25 @@ def pair_join(left: DataFrame, right: DataFrame, key: str, left_order: str, righ
     return number(left, left_order).join(number(r, order), [key, "_n"]).drop("_n")
 
 
-def asof_join(points: DataFrame, starts: DataFrame, by: str | None, position: str, start: str, value: str) -> DataFrame:
+def asof_join(points: DataFrame, starts: DataFrame, by: str | None, position: str, start: str, value: str, width: int = 1 << 20) -> DataFrame:
     """Each point with the ``value`` of the last start at or before it (as ``by`` group, if given); null if there is none.
 
-    By one window over the union of both, not a range join. Of starts at the same place the largest value counts.
+    A start holds up to the next one; these stretches are cut into bins of ``width`` and met by an equi-join on the bin, so
+    points are never sorted together. Of starts at the same place the largest value counts. ``starts`` is the smaller side
+    (its stretches times their bins are made). Extra columns of ``points`` are kept; one named like ``value`` clashes.
     """
-    keys = [by] if by else []
-    if not by:
-        points, starts, keys = points.withColumn("_one", F.lit(0)), starts.withColumn("_one", F.lit(0)), ["_one"]
-    s = starts.select(*keys, F.col(start).cast("long").alias("_at"), F.col(value).alias("_v"), F.lit(0).alias("_side"), F.lit(None).alias("_p"))
-    p = points.select(*keys, F.col(position).cast("long").alias("_at"), F.lit(None).cast(starts.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = s.withColumn("_p", F.lit(None).cast(p.schema["_p"].dataType)).unionByName(p).withColumn("_found", F.last("_v", ignorenulls=True).over(w))
-    return seen.where("_side = 1").select("_p.*", F.col("_found").alias(value)).drop("_one")
+    by_group = [by] if by else []
+    s = starts.where(F.col(start).isNotNull()).groupBy(*by_group, F.col(start).cast("long").alias("_s")).agg(F.max(value).alias(value))
+    last = points.agg(F.max(F.col(position)).cast("long").alias("_last"))
+    w = Window.partitionBy(*by_group).orderBy("_s")
+    s = s.withColumn("_e", F.lead("_s").over(w)).crossJoin(F.broadcast(last)).withColumn("_e", F.coalesce("_e", F.greatest(F.col("_last"), F.col("_s")) + 1)).drop("_last")  # one row: the largest point
+    s = with_bins(s, "_s", "_e", width)
+    p = points.withColumn("_at", F.floor(F.col(position) / width))
+    s = s.select(*(F.col(c).alias(f"_by_{c}") for c in by_group), F.col("_bin"), "_s", "_e", value)
+    on = (F.col("_at") == F.col("_bin")) & (F.col("_s") <= F.col(position)) & (F.col(position) < F.col("_e"))
+    for c in by_group:
+        on = on & (F.col(c) == F.col(f"_by_{c}"))
+    return p.join(s, on, "left").drop("_at", "_bin", "_s", "_e", *(f"_by_{c}" for c in by_group))
 
 
 def with_bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
