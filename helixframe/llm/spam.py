@@ -49,6 +49,8 @@ SELLING_WORDS = frozenset(
     """.split()
 )
 STRETCH, LEAST = 24, 8
+#: A stretch of fewer words is too short to be called repetitive.
+JUDGED = 5
 #: At most so many rated pages, of at most so many letters each, are used to calibrate.
 MAX_RATED, MAX_RATED_CHARS = 2_000, 100_000
 BREAK, SEPARATOR = 0, 1
@@ -205,7 +207,7 @@ def junk(s: Stretches, limits: list[Limits]) -> np.ndarray:
     if not len(s.doc):
         return np.zeros(0, bool)
     wordless = s.function < at("function")
-    listed = (s.top >= at("top")) | (s.repeat >= at("repeat")) | (s.separator >= at("separator"))
+    listed = ((s.top >= at("top")) | (s.repeat >= at("repeat")) | (s.separator >= at("separator"))) & (s.words >= JUDGED)
     linked = s.link >= at("link")
     return linked | (s.marked >= at("marked")) & (s.function < 2 * at("function")) | wordless & listed & (s.data < at("data"))
 
