@@ -12,6 +12,8 @@ _CODE = np.full(256, 4, np.uint8)
 for _i, _letters in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
     _CODE[np.frombuffer(_letters, np.uint8)] = _i
 INF = 1 << 28
+#: Matrix cells that are held at a time when many pairs are aligned.
+GROUP_CELLS = 4_000_000
 
 #: Fixed values: (match, mismatch) of the named score matrices; N costs nothing but in the first, where it is 0 too.
 MATRICES = {"smrt": (-5, 6), "log_prob": (0, 15), "edit": (0, 1), "qv": (-1, 1)}
@@ -133,99 +135,140 @@ def _pack(steps: list[str], q: np.ndarray, t: np.ndarray, i: int, j: int) -> lis
 
 
 def align(query: str, target: str, scores: Scores, mode: str = "global", band: int | None = None, guide: list[tuple[int, int, int]] | None = None, trace: bool = True) -> Alignment | None:
-    """Best alignment of two sequences, whole rows of the matrix at a time.
+    """Best alignment of two sequences; see ``align_many``."""
+    return align_many([query], [target], scores, mode, band, [guide], trace)[0]
 
-    ``band`` keeps to so many columns on either side of the diagonal or, with ``guide`` (blocks of another alignment), of that
+
+def align_many(
+    queries: list[str], targets: list[str], scores: Scores, mode: str = "global", band: int | None = None, guides: list | None = None, trace: bool = True
+) -> list[Alignment | None]:
+    """Best alignment of each query with its target, rows of all matrices at a time.
+
+    ``band`` keeps to so many columns on either side of the diagonal or, with a guide (blocks of another alignment), of that
     one. None if the band lets nothing through. Without ``trace`` only the score and the end are found. Ties: aligned letters go before
-    insertions, those before deletions; of equal ends the first.
+    insertions, those before deletions; of equal ends the first. Pairs are taken in groups of like size and bounded memory.
     """
-    q, t = codes(query), codes(target)
-    n, m = len(q), len(t)
+    found: list[Alignment | None] = [None] * len(queries)
+    guides = guides or [None] * len(queries)
+    order = sorted(range(len(queries)), key=lambda k: (len(queries[k]), len(targets[k])))
+    at = 0
+    while at < len(order):
+        end, m = at, 0
+        while end < len(order):
+            m_new = max(m, len(targets[order[end]]) + 1)
+            if end > at and m_new * (len(queries[order[end]]) + 1) * (end - at + 1) > GROUP_CELLS:
+                break
+            m, end = m_new, end + 1
+        part = order[at:end]
+        for k, a in zip(part, _group([queries[k] for k in part], [targets[k] for k in part], scores, mode, band, [guides[k] for k in part], trace)):
+            found[k] = a
+        at = end
+    return found
+
+
+def _group(queries, targets, scores, mode, band, guides, trace) -> list[Alignment | None]:
+    qs, ts = [codes(x) for x in queries], [codes(x) for x in targets]
+    count = len(qs)
+    ns, ms = np.array([len(x) for x in qs]), np.array([len(x) for x in ts])
+    n, m = int(ns.max()), int(ms.max())
+    q, t = np.full((count, n), 4, np.int64), np.full((count, m), 4, np.int64)
+    for k in range(count):
+        q[k, : ns[k]], t[k, : ms[k]] = qs[k], ts[k]
     free_qp, free_tp, free_qs, free_ts = MODES[mode]
-    local = mode == "local"
-    sub = scores.table
-    open_, d_ext = scores.open, scores.deletion
-    two = scores.long_open is not None
+    local, sub = mode == "local", scores.table
+    open_, d_ext, two = scores.open, scores.deletion, scores.long_open is not None
     cols = np.arange(m + 1, dtype=np.int64)
-    middle = _centres(n, m, guide) if band is not None else None
-
-    def bounds(i: int) -> tuple[int, int]:
+    each = np.arange(count)
+    real = cols <= ms[:, None]
+    middle = np.zeros((count, n + 1), np.int64)
+    if band is not None:
+        for k in range(count):
+            middle[k, : ns[k] + 1] = _centres(int(ns[k]), int(ms[k]), guides[k])
+
+    def outside(i: int) -> np.ndarray:
         if band is None:
-            return 0, m
-        return max(0, int(middle[i]) - band), min(m, int(middle[i]) + band)
-
-    gap_d = lambda k: np.minimum(open_ + d_ext * k, (scores.long_open + scores.long_ext * k)) if two else open_ + d_ext * k
-    h = np.zeros(m + 1, np.int64) if free_tp else np.where(cols == 0, 0, gap_d(cols))
-    lo, hi = bounds(0)
-    h[:lo] = h[hi + 1 :] = INF
-    f, g = np.full(m + 1, INF, np.int64), np.full(m + 1, INF, np.int64)
-    source = np.zeros((n + 1, m + 1), np.uint8) if trace else None
-    if trace:
-        source[0, 1:] = 3 if free_tp else 2
-    best, end = INF, (0, 0)
-    if free_qs and (not band or hi == m) or n == 0:
-        best, end = int(h[m]), (0, m)
+            return ~real
+        c = middle[:, min(i, n)][:, None]
+        return ~real | (cols < c - band) | (cols > c + band)
+
+    gap_d = open_ + d_ext * cols
+    if two:
+        gap_d = np.minimum(gap_d, scores.long_open + scores.long_ext * cols)
+    gap_d[0] = 0
+    h = np.tile(np.zeros(m + 1, np.int64) if free_tp else gap_d, (count, 1))
+    h[outside(0)] = INF
+    f, g = np.full((count, m + 1), INF, np.int64), np.full((count, m + 1), INF, np.int64)
+    source = np.zeros((n + 1, count, m + 1), np.uint8) if trace else None
+    parts = np.zeros((n + 1, count, m + 1), np.int32) if trace else None
+    best, end_i, end_j = np.full(count, INF, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
     if local:
-        best, end = 0, (0, 0)
-    jumps: dict[int, np.ndarray] = {}
-    i_cost = 0
+        best[:] = 0
+    elif free_qs:
+        best, end_j = np.minimum(h[each, ms], INF), ms.copy()
+
+    def close(i: int) -> None:
+        """Ends in the last row of the pairs whose query is i long."""
+        if local:
+            return
+        if free_ts:
+            j = h.argmin(axis=1)
+            take = (ns == i) & (h[each, j] < best)
+        else:
+            j = ms
+            take = (ns == i) & ((h[each, ms] < best) | (not free_qs))
+        best[take], end_i[take], end_j[take] = h[each, j][take], i, j[take]
+
+    close(0)
+    i_cost = np.zeros(count, np.int64)
     for i in range(1, n + 1):
-        ext = scores.insertion
-        if scores.homopolymer_insertion is not None and i > 1 and q[i - 1] == q[i - 2]:
-            ext = scores.homopolymer_insertion
-        lo, hi = bounds(i)
+        ext = np.full(count, scores.insertion, np.int64)
+        if scores.homopolymer_insertion is not None and i > 1:
+            ext[q[:, i - 1] == q[:, i - 2]] = scores.homopolymer_insertion
         i_cost += ext
-        longer = f + ext
-        fresh = h + open_ + ext
-        f = np.minimum(longer, fresh)
+        e = ext[:, None]
+        f = np.minimum(f, h + open_) + e
+        ins = f
         if two:
-            g = np.minimum(g + scores.long_ext, h + scores.long_open + scores.long_ext)
+            g = np.minimum(g, h + scores.long_open) + scores.long_ext
             ins = np.minimum(f, g)
-        else:
-            ins = f
-        diag = np.full(m + 1, INF, np.int64)
-        diag[1:] = h[:-1] + sub[q[i - 1], t]
-        first = 0 if free_qp else min(open_ + i_cost, scores.long_open + scores.long_ext * i) if two else open_ + i_cost
+        diag = np.full((count, m + 1), INF, np.int64)
+        diag[:, 1:] = h[:, :-1] + sub[q[:, i - 1][:, None], t]
         part = np.minimum(diag, ins)
-        part[0] = first
-        part[:lo] = part[hi + 1 :] = INF
-        reach = part - d_ext * cols
-        far = np.minimum.accumulate(reach)
-        dele = np.full(m + 1, INF, np.int64)
-        dele[1:] = open_ + d_ext * cols[1:] + far[:-1]
+        part[:, 0] = 0 if free_qp else np.minimum(open_ + i_cost, scores.long_open + scores.long_ext * i) if two else open_ + i_cost
+        out = outside(i)
+        part[out] = INF
+        dele = np.full((count, m + 1), INF, np.int64)
+        dele[:, 1:] = open_ + d_ext * cols[1:] + np.minimum.accumulate(part - d_ext * cols, axis=1)[:, :-1]
         if two:
-            reach2 = part - scores.long_ext * cols
-            dele[1:] = np.minimum(dele[1:], scores.long_open + scores.long_ext * cols[1:] + np.minimum.accumulate(reach2)[:-1])
-        dele[:lo] = dele[hi + 1 :] = INF
-        h = np.minimum(part, dele)
+            dele[:, 1:] = np.minimum(dele[:, 1:], scores.long_open + scores.long_ext * cols[1:] + np.minimum.accumulate(part - scores.long_ext * cols, axis=1)[:, :-1])
+        dele[out] = INF
+        h = np.minimum(np.minimum(part, dele), INF)
         if trace:
             row = np.where(diag <= h, 0, np.where(part <= h, 1, 2)).astype(np.uint8)
-            row[0] = 3 if free_qp else 1
+            row[:, 0] = 3 if free_qp else 1
             if local:
                 row[h >= 0] = 3
-            source[i] = row
-            jumps[i] = part
+            source[i], parts[i] = row, np.minimum(part, INF)
         if local:
             np.minimum(h, 0, out=h)
-            h[:lo] = h[hi + 1 :] = INF
-            j = int(h.argmin())
-            if h[j] < best:
-                best, end = int(h[j]), (i, j)
-        if free_qs and not local and h[m] < best:
-            best, end = int(h[m]), (i, m)
-        np.minimum(h, INF, out=h)
-    if not local:
-        if free_ts:
-            j = int(h.argmin())
-            if h[j] < best:
-                best, end = int(h[j]), (n, j)
-        elif h[m] < best or not free_qs:
-            best, end = int(h[m]), (n, m)
-    if best >= INF // 2:
-        return None
-    if not trace:
-        return Alignment(best, -1, end[0], -1, end[1])
-    return _walk(q, t, scores, source, jumps, best, end, free_qp, free_tp, local)
+            h[out] = INF
+            j = h.argmin(axis=1)
+            take = (i <= ns) & (h[each, j] < best)
+            best[take], end_i[take], end_j[take] = h[each, j][take], i, j[take]
+        elif free_qs:
+            v = h[each, ms]
+            take = (i <= ns) & (v < best)
+            best[take], end_i[take], end_j[take] = v[take], i, ms[take]
+        close(i)
+    done: list[Alignment | None] = []
+    for k in range(count):
+        if best[k] >= INF // 2:
+            done.append(None)
+        elif not trace:
+            done.append(Alignment(int(best[k]), -1, int(end_i[k]), -1, int(end_j[k])))
+        else:
+            done.append(_walk(qs[k], ts[k], scores, source[:, k], parts[:, k], int(best[k]), (int(end_i[k]), int(end_j[k])), free_qp, free_tp, local))
+    return done
 
 
 def _centres(n: int, m: int, guide: list[tuple[int, int, int]] | None) -> np.ndarray:

@@ -97,28 +97,29 @@ def align_pairs(pairs: DataFrame, scores: dp.Scores, mode: str = "global", band:
     ints = ["score", "q_start", "q_end", "t_start", "t_end", "n_match", "n_mismatch", "n_ins", "n_del", "drift"]
     texts = ["cigar", *(("q_string", "ticks", "t_string") if keep_strings else ())]
 
-    def one(q: str | None, t: str | None, g: list | None) -> dict:
-        if q is None or t is None:
-            return {}
+    def solve(qs: list[str], ts: list[str], gs: list) -> list[dp.Alignment | None]:
         if method == "sparse":
-            a = dp.sparse_align(q, t, scores)
-        elif method == "extend":
-            a = dp.extend(q, t, scores)
-        elif method == "one_gap":
-            a = dp.one_gap(q, t, scores)
-        else:
-            a = dp.align(q, t, scores, mode, band, [(x["q"], x["t"], x["length"]) for x in g] if g else None)
+            return [dp.sparse_align(q, t, scores) for q, t in zip(qs, ts)]
+        if method == "extend":
+            return [dp.extend(q, t, scores) for q, t in zip(qs, ts)]
+        if method == "one_gap":
+            return [dp.one_gap(q, t, scores) for q, t in zip(qs, ts)]
+        return dp.align_many(qs, ts, scores, mode, band, [[(x["q"], x["t"], x["length"]) for x in g] if g else None for g in gs])
+
+    def row(a: dp.Alignment | None, q: str, t: str) -> dict:
         if a is None:
             return {}
-        row = {"score": a.score, "q_start": a.q_start, "q_end": a.q_end, "t_start": a.t_start, "t_end": a.t_end, "cigar": a.cigar(), "drift": a.drift(), **a.stats()}
-        if keep_strings:
-            row |= dict(zip(("q_string", "ticks", "t_string"), a.strings(q, t)))
-        return row
+        found = {"score": a.score, "q_start": a.q_start, "q_end": a.q_end, "t_start": a.t_start, "t_end": a.t_end, "cigar": a.cigar(), "drift": a.drift(), **a.stats()}
+        return found | dict(zip(("q_string", "ticks", "t_string"), a.strings(q, t))) if keep_strings else found
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             guides = batch[guide].to_pylist() if guide else [None] * batch.num_rows
-            rows = [one(q, t, g) for q, t, g in zip(batch["query"].to_pylist(), batch["target"].to_pylist(), guides)]
+            qs, ts = batch["query"].to_pylist(), batch["target"].to_pylist()
+            known = [i for i in range(len(qs)) if qs[i] is not None and ts[i] is not None]
+            rows: list[dict] = [{}] * len(qs)
+            for i, a in zip(known, solve([qs[i] for i in known], [ts[i] for i in known], [guides[i] for i in known])):
+                rows[i] = row(a, qs[i], ts[i])
             arrays = [batch[c] for c in kept] + [pa.array([r.get(c) for r in rows], pa.int32()) for c in ints]
             arrays += [pa.array([r.get("pct_similarity") for r in rows], pa.float64())] + [pa.array([r.get(c) for r in rows], pa.string()) for c in texts]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *ints, "pct_similarity", *texts])
