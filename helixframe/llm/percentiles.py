@@ -39,7 +39,7 @@ def merge(summary: DataFrame, groups: list[str]) -> DataFrame:
     return summary.groupBy(*groups, "field", "value").agg(F.sum("cnt").alias("cnt"))
 
 
-def multi_select(summary: DataFrame, keys: list[str], per_mille: list[int], salts: int = 8, small: int = 1024) -> DataFrame:
+def multi_select(summary: DataFrame, keys: list[str], per_mille: list[int], salts: int = 8, small: int = 4096) -> DataFrame:
     """The values at the given percentiles (in thousandths) of each key: ``(*keys, per_mille, value, n)``.
 
     The percentile q of n values is the ceil(q*n)-th smallest (the first for q = 0); the rank error is 0. Ties are counted,
@@ -62,11 +62,12 @@ def multi_select(summary: DataFrame, keys: list[str], per_mille: list[int], salt
             inside = F.lit(True) if turn == 0 else (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))
             spread = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
             active = lambda d: data.select("gid", "salt", "v", "cnt").join(spread(d), ["gid", "salt"]).where(inside)
-            local = active(sought.select(*at).distinct()).groupBy(*at, "salt").agg(F.percentile("v", 0.5, F.col("cnt")).alias("m"), F.sum("cnt").alias("w"), F.count("*").alias("k"))
+            local = active(sought.select(*at).distinct()).groupBy(*at, "salt").agg(F.percentile("v", 0.5).alias("m"), F.count("*").alias("k"))
             by = Window.partitionBy(*at)
-            upto = F.sum("w").over(by.orderBy("m", "salt").rowsBetween(Window.unboundedPreceding, 0))
-            local = local.select(*at, "m", F.sum("k").over(by).alias("k"), upto.alias("_u"), F.sum("w").over(by).alias("_w"))
-            pivots = cut(local.where("_u * 2 >= _w").groupBy(*at).agg(F.min("m").alias("p"), F.max("k").alias("k")))
+            # A piece's proposal weighs as many different values as the piece holds, so that a range loses half of those, however they repeat.
+            upto = F.sum("k").over(by.orderBy("m", "salt").rowsBetween(Window.unboundedPreceding, 0))
+            local = local.select(*at, "m", F.sum("k").over(by).alias("k"), upto.alias("_u"))
+            pivots = cut(local.where("_u * 2 >= k").groupBy(*at).agg(F.min("m").alias("p"), F.max("k").alias("k")))
             few = active(pivots.where(F.col("k") <= small).select(*at)).select(*at, "v", "cnt")
             ranked = few.withColumn("_u", F.sum("cnt").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
             hits = ranked.join(sought, at).where((F.col("r") <= F.col("_u")) & (F.col("r") > F.col("_u") - F.col("cnt")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import leakage, packing, percentiles, runs, shared_spans, spam, topn
-from helixframe.session import table
+from helixframe.session import cut, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,7 @@ PER_MILLE = [10, 100, 500, 900, 990, 999]
 
 def _select(summary: DataFrame) -> DataFrame:
     """Percentiles per movie and, under a null movie_id with scope 'all', of all movies. rank_error is the stated bound."""
+    summary = cut(summary)  # read twice
     scoped = summary.select(F.lit("movie").alias("scope"), "movie_id", "field", "value", "cnt").unionByName(
         percentiles.merge(summary, []).select(F.lit("all").alias("scope"), F.lit(None).cast("int").alias("movie_id"), "field", "value", "cnt")
     )

@@ -228,5 +228,5 @@ def test_junk_pages(spark):
 
 
 def test_marking_words_need_both_kinds():
-    found = spam.marking_words(["buy zap now"] * 4 + ["the read"] * 4, [True] * 4 + [False] * 4)
+    found = spam.marking_words(["buy zap now"] * 20 + ["the read"] * 20, [True] * 20 + [False] * 20)
     assert {"buy", "zap"} <= found and "read" not in found and "now" not in spam.FUNCTION_WORDS
