@@ -44,8 +44,9 @@ _SEQUENCE = re.compile(r"[ACGTNacgtn]{12,}$")
 #: Words that sell, in the four languages; words found on the rated pages are added.
 SELLING_WORDS = frozenset(
     """
-    buy cheap cheapest coupon coupons discount discounts sale deal deals wholesale outlet shipping checkout bestseller kaufen billig günstig angebot angebote rabatt gutschein
-    acheter soldes promo promotion livraison panier comprar rebajas oferta ofertas barato descuento envío
+    buy cheap cheapest coupon coupons discount discounts sale deal deals wholesale outlet shipping checkout bestseller price prices offer offers order review reviews sku
+    shop store cart delivery kaufen billig günstig angebot angebote rabatt gutschein bestellen lieferbar testsieger preis preise warenkorb versand
+    acheter soldes promo promotion livraison panier prix offerte cher boutique comprar rebajas oferta ofertas barato descuento envío precio gratis tienda
     """.split()
 )
 STRETCH, LEAST = 24, 8
