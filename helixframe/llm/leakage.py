@@ -51,26 +51,38 @@ def _segment(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["doc_ids", "doc_ends", "terms", "term_ends", "positions"])
 
 
+def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index segments of (doc_id, text) batches, one at a time."""
+    ids: list[int] = []
+    texts: list[str] = []
+    size = 0
+    for batch in it:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if ids and size + len(t) > SEGMENT_CHARS:
+                yield _segment(ids, texts)
+                ids, texts, size = [], [], 0
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+    if ids:
+        yield _segment(ids, texts)
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
+
+
 def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Index segments of all documents with an id and a text that isn't null; whole texts, every term and position."""
-
-    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        texts: list[str] = []
-        size = 0
-        for batch in it:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if ids and size + len(t) > SEGMENT_CHARS:
-                    yield _segment(ids, texts)
-                    ids, texts, size = [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-        if ids:
-            yield _segment(ids, texts)
-
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(kernel, INDEX_SCHEMA)
+    """Index segments of all documents with an id and a text that isn't null; whole texts, every term and position. To be stored and
+    searched again; ``DocumentIndex`` searches segments as they are built."""
+    return _texts(docs, doc_id, text).mapInArrow(_segments, INDEX_SCHEMA)
+
+
+class DocumentIndex:
+    """Documents to search without a stored index: each segment is built, searched and dropped where its documents are read."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str) -> None:
+        self.rows = _texts(docs, doc_id, text)
 
 
 class Segment:
@@ -147,17 +159,19 @@ class Segment:
         return at
 
 
-def _search(index: DataFrame, items: DataFrame, item_id: str, text: str, find) -> DataFrame:
+def _search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, find) -> DataFrame:
     """(doc_id, item_id) pairs found by ``find(segment, words)``; items go to the segments in blocks of bounded size."""
     rows = items.select(items[item_id].cast("long").alias("item_id"), items[text].alias("text")).where("item_id is not null and text is not null")
     pairs = None
     held: list[tuple[int, list[str]]] = []
+    built = isinstance(index, DocumentIndex)
+    source = index.rows if built else index
 
     def one_block(block: list[tuple[int, list[str]]]) -> DataFrame:
         def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                for row in batch.to_pylist():
-                    segment, docs, found = Segment(row), [], []
+            for batch in _segments(it) if built else it:
+                for n in range(batch.num_rows):
+                    segment, docs, found = Segment(batch.slice(n, 1).to_pylist()[0]), [], []
                     for i, ws in block:
                         d = np.unique(segment.docs_at(find(segment, ws)))
                         docs.append(d)
@@ -165,7 +179,7 @@ def _search(index: DataFrame, items: DataFrame, item_id: str, text: str, find) -
                     if docs:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(found), pa.int64())], ["doc_id", "item_id"])
 
-        return index.mapInArrow(kernel, "doc_id bigint, item_id bigint")
+        return source.mapInArrow(kernel, "doc_id bigint, item_id bigint")
 
     for r in rows.toLocalIterator():
         held.append((r.item_id, words(r.text)))
@@ -176,7 +190,7 @@ def _search(index: DataFrame, items: DataFrame, item_id: str, text: str, find) -
     return pairs.distinct()
 
 
-def phrase_search(index: DataFrame, items: DataFrame, item_id: str, text: str, n: int = 10) -> DataFrame:
+def phrase_search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, n: int = 10) -> DataFrame:
     """``(doc_id, item_id)``: ``n`` consecutive words of the item stand consecutively and in order in the document.
 
     Each pair once. Items of fewer than ``n`` words, null or empty texts and null ids match nothing; repeats change nothing.
@@ -184,6 +198,6 @@ def phrase_search(index: DataFrame, items: DataFrame, item_id: str, text: str, n
     return _search(index, items, item_id, text, lambda segment, ws: segment.phrases(ws, n))
 
 
-def proximity_search(index: DataFrame, items: DataFrame, item_id: str, text: str, terms: int = 6, within: int = 40) -> DataFrame:
+def proximity_search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, terms: int = 6, within: int = 40) -> DataFrame:
     """``(doc_id, item_id)``: the item's ``terms`` rarest words (in the segment) all stand near the rarest one in the document."""
     return _search(index, items, item_id, text, lambda segment, ws: segment.near(ws, terms, within))

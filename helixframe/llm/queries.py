@@ -61,13 +61,13 @@ def p7_percentiles_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = leakage.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = leakage.DocumentIndex(table(spark, sf_dir, "documents"), "doc_id", "text")
     return leakage.phrase_search(index, table(spark, sf_dir, "eval_items"), "item_id", "item_text", n=10)
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which the eight rarest words of an item stand within 30 words of the rarest."""
-    index = leakage.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = leakage.DocumentIndex(table(spark, sf_dir, "documents"), "doc_id", "text")
     return leakage.proximity_search(index, table(spark, sf_dir, "eval_items"), "item_id", "item_text", terms=8, within=30)
 
 

@@ -194,6 +194,7 @@ def test_phrases(spark):
     e = spark.createDataFrame([(i, " ".join(t)) for i, t in items] + [(50, None), (51, "w1 w2"), (None, "w1 " * 20), (0, " ".join(items[0][1]))], "item_id long, item_text string")
     index = leakage.build_index(d, "doc_id", "text")
     assert rows_of(leakage.phrase_search(index, e, "item_id", "item_text")) == expected
+    assert rows_of(leakage.phrase_search(leakage.DocumentIndex(d, "doc_id", "text"), e, "item_id", "item_text")) == expected
     assert leakage.phrase_search(index, e.where("false"), "item_id", "item_text").count() == 0
     assert leakage.phrase_search(leakage.build_index(d.where("false"), "doc_id", "text"), e, "item_id", "item_text").count() == 0
     saved, leakage.ITEM_BLOCK = leakage.ITEM_BLOCK, 5
