@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.sources.scan import numbered
+
 
 def pair_join(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str) -> DataFrame:
     """Rows of equal key paired one to one in their orders; what has no partner is dropped. Clashing names of ``right`` get ``r_``."""
@@ -66,18 +72,42 @@ def best_overlap(pairs: DataFrame, keys: list[str], l: tuple[str, str], r: tuple
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def _contained_ids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of the intervals that lie in one before them, from rows (group, s, e, v, i, own) sorted by group, s, e falling, v, i.
+
+    Of the intervals seen, those that no other both outreaches and outscores are kept, by falling end; memory is theirs only.
+    """
+    group, ends, scores = None, [], []
+    for batch in it:
+        lost = []
+        for g, e, v, i, own in zip(*(batch[c].to_pylist() for c in ("g", "e", "v", "i", "own"))):
+            if g != group:
+                group, ends, scores = g, [], []
+            # ends is kept as negative numbers, rising; scores fall along it, as a nearer end is kept only for a better score.
+            at = bisect_right(ends, -e)
+            if at and scores[at - 1] <= v:
+                if own:
+                    lost.append(i)
+                continue
+            at = bisect_left(ends, -e)
+            stop = at
+            while stop < len(ends) and scores[stop] >= v:
+                stop += 1
+            ends[at:stop], scores[at:stop] = [-e], [v]
+        yield pa.RecordBatch.from_arrays([pa.array(lost, batch["i"].type)], ["i"])
+
+
 def drop_contained_intervals(df: DataFrame, keys: list[str], start: str, end: str, score: str, row_id: str, width: int) -> DataFrame:
     """Without the rows whose interval lies in another's of the same keys with a score at most as high (lower is better).
 
-    Of equal intervals with equal scores the smaller id stays. Compared within bins of ``width`` only. ``row_id`` is unique.
+    Of equal intervals with equal scores the smaller id stays; nulls in the keys are equal; empty or null intervals and null scores are
+    kept and hold nothing. A container covers the start of what it holds, so each bin of ``width`` is one sweep, which emits no pairs.
+    ``row_id`` is unique.
     """
-    key = F.struct(*keys)
-    a = with_bins(df.select(key.alias("k"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(score).alias("v"), F.col(row_id).alias("i")), "s", "e", width)
-    a = a.where(F.col("_bin") == F.expr(f"s div {width}"))  # a container covers the start, so one bin is enough
-    b = with_bins(df.select(key.alias("k"), F.col(start).alias("s2"), F.col(end).alias("e2"), F.col(score).alias("v2"), F.col(row_id).alias("i2")), "s2", "e2", width)
-    within = (F.col("s") >= F.col("s2")) & (F.col("e") <= F.col("e2")) & (F.col("v2") <= F.col("v"))
-    equal = (F.col("s") == F.col("s2")) & (F.col("e") == F.col("e2")) & (F.col("v2") == F.col("v"))
-    lost = a.join(b, ["k", "_bin"]).where(within & (F.col("i") != F.col("i2")) & (~equal | (F.col("i2") < F.col("i")))).select(F.col("i").alias(row_id)).distinct()
+    rows = df.select(F.to_json(F.struct(*keys)).alias("k"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.col(score).alias("v"), F.col(row_id).alias("i"))
+    rows = with_bins(rows.where("v is not null"), "s", "e", width).withColumn("g", F.concat_ws("|", "_bin", "k")).withColumn("own", F.col("_bin") == F.expr(f"s div {width}"))
+    swept = rows.repartition("g").sortWithinPartitions("g", "s", F.desc("e"), "v", "i").select("g", "e", "v", "i", "own")
+    lost = swept.mapInArrow(_contained_ids, f"i {df.schema[row_id].dataType.simpleString()}").select(F.col("i").alias(row_id)).distinct()
     return df.join(lost, row_id, "left_anti")
 
 
@@ -100,7 +130,7 @@ def compare_sets(a: DataFrame, b: DataFrame, keys: list[str], values: list[str])
 def title_table(df: DataFrame, title: str) -> DataFrame:
     """Dense numbers from 0 for the different titles, in their order: ``(title, title_id)``. Nulls have none."""
     names = df.select(title).where(F.col(title).isNotNull()).distinct()
-    return names.withColumn("title_id", F.row_number().over(Window.orderBy(title)) - 1)
+    return numbered(names, title, "title_id").select(title, F.col("title_id").cast("int").alias("title_id"))
 
 
 def best_hits(df: DataFrame, query: str, score: str, ties: list[str], n: int = 10, policy: str = "bestn", seed: int = 0) -> DataFrame:

@@ -150,6 +150,20 @@ def test_relations(spark):
     assert rows_of(relational.pair_join(left, left, "key", "a", "a").select("id", "r_id")) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_contained_intervals(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), a, a + rng.choice([0, 3, 9, 30]), rng.choice([1, 2, 3, None])) for i, a in ((i, rng.randrange(60)) for i in range(200))]
+    gone = {
+        x[0] for x in rows for y in rows
+        if x[0] != y[0] and x[1] == y[1] and x[2] < x[3] and y[2] < y[3] and None not in (x[4], y[4]) and y[2] <= x[2] and y[3] >= x[3] and y[4] <= x[4]
+        and (y[2:] != x[2:] or y[0] < x[0])
+    }
+    df = spark.createDataFrame(rows, "id int, key string, a int, b int, score int")
+    for width in (5, 1000):
+        kept = {r.id for r in relational.drop_contained_intervals(df, ["key"], "a", "b", "score", "id", width).collect()}
+        assert kept == {r[0] for r in rows} - gone
+
+
 def test_coverage(spark):
     df = spark.createDataFrame([("r", 0, 10), ("r", 5, 15), ("r", 20, 20)], "ref string, s long, e long")
     assert rows_of(coverage.binned_coverage(df, "ref", "s", "e", 10)) == [("r", 0, 15, 1.5), ("r", 1, 5, 0.5)]
