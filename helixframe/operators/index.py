@@ -67,20 +67,24 @@ def longest_repeat(texts: DataFrame, seq: str, most: int = 1 << 14) -> tuple[int
     Repeats of length k imply repeats of every smaller length, so the length is found by bisection, each step one
     count of window hashes (128 bits). ``most`` bounds the search.
     """
-    rows = cut(texts.select(F.upper(seq).alias("seq")).where(F.length("seq") > 0))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(texts.select(F.upper(seq).alias("seq")).where(F.length("seq") > 0).repartition(parts))
 
-    def repeats(k: int) -> int:
+    def found(k: int) -> DataFrame:
         h = rows.mapInArrow(_window_hashes(k), "a long, b long, n long")
-        return h.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").count()
+        return h.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
 
-    low, high = 0, 1
+    def repeats(k: int) -> bool:
+        return found(k).limit(1).count() > 0
+
+    low, high = 0, 16
     while high <= most and repeats(high):
         low, high = high, high * 2
     high = min(high, most + 1)
     while high - low > 1:
         middle = (low + high) // 2
         low, high = (middle, high) if repeats(middle) else (low, middle)
-    return low, repeats(low) if low else 0
+    return low, found(low).count() if low else 0
 
 
 def shared_word_components(texts: DataFrame, text_id: str, seq: str, k: int) -> DataFrame:
