@@ -78,11 +78,11 @@ def with_log_p(found: DataFrame, targets: DataFrame, target_id: str, seq: str, k
     every anchor but the first also pays the chance of its place, one over the k-mers of all targets.
     """
     words = kmer_counts(targets, target_id, seq, k)
-    total = words.agg(F.sum("n").alias("_total"))
+    total = float(words.agg(F.sum("n")).first()[0] or 1)
     flat = found.select("q_id", "t_id", "part", F.posexplode("anchors").alias("i", "a")).join(targets.select(F.col(target_id).alias("t_id"), F.col(seq).alias("_seq")), "t_id")
     code = F.conv(F.translate(F.upper(F.expr(f"substring(_seq, a.t + 1, {k})")), "ACGT", "0123"), 4, 10).cast("long")
-    each = flat.select("q_id", "t_id", "part", "i", F.col("a.length").alias("length"), code.alias("kmer")).join(words, "kmer").crossJoin(F.broadcast(total))  # total is one row
-    log_p = F.log(F.col("n") / F.col("_total")) + (F.col("length") - k) * math.log(0.25) + F.when(F.col("i") > 0, -F.log(F.col("_total").cast("double"))).otherwise(0.0)
+    each = flat.select("q_id", "t_id", "part", "i", F.col("a.length").alias("length"), code.alias("kmer")).join(words, "kmer")
+    log_p = F.log(F.col("n") / total) + (F.col("length") - k) * math.log(0.25) + F.when(F.col("i") > 0, F.lit(-math.log(total))).otherwise(0.0)
     return found.join(each.groupBy("q_id", "t_id", "part").agg(F.round(F.sum(log_p), 6).alias("log_p")), ["q_id", "t_id", "part"])
 
 

@@ -29,9 +29,9 @@ def asof_join(points: DataFrame, starts: DataFrame, by: str | None, position: st
     """
     by_group = [by] if by else []
     s = starts.where(F.col(start).isNotNull()).groupBy(*by_group, F.col(start).cast("long").alias("_s")).agg(F.max(value).alias(value))
-    last = points.agg(F.max(F.col(position)).cast("long").alias("_last"))
+    last = points.agg(F.max(F.col(position)).cast("long")).first()[0] or 0
     w = Window.partitionBy(*by_group).orderBy("_s")
-    s = s.withColumn("_e", F.lead("_s").over(w)).crossJoin(F.broadcast(last)).withColumn("_e", F.coalesce("_e", F.greatest(F.col("_last"), F.col("_s")) + 1)).drop("_last")  # one row: the largest point
+    s = s.withColumn("_e", F.coalesce(F.lead("_s").over(w), F.greatest(F.lit(last).cast("long"), F.col("_s")) + 1))
     s = with_bins(s, "_s", "_e", width)
     p = points.withColumn("_at", F.floor(F.col(position) / width))
     s = s.select(*(F.col(c).alias(f"_by_{c}") for c in by_group), F.col("_bin"), "_s", "_e", value)

@@ -139,6 +139,6 @@ def length_cdf(df: DataFrame, length: str) -> DataFrame:
     from pyspark.sql import Window
 
     counts = df.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("length")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    upto = F.sum("n").over(Window.orderBy("length").rowsBetween(Window.unboundedPreceding, 0))  # a row per length
-    return counts.crossJoin(F.broadcast(total)).select("length", "n", F.round(upto / F.col("_total"), 6).alias("upto"))
+    every = Window.partitionBy(F.lit(0))  # a row per length
+    upto = F.sum("n").over(every.orderBy("length").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select("length", "n", F.round(upto / F.sum("n").over(every), 6).alias("upto"))

@@ -52,8 +52,7 @@ def read_components(spark: S, d: str) -> DataFrame:
 @query()
 def kmer_cardinality_approx(spark: S, d: str) -> DataFrame:
     k = kmer_table(reads(spark, d), "read_id", "seq", 10)
-    per = k.groupBy("read_id").agg(F.count("*").alias("n"))
-    return k.agg(F.approx_count_distinct("kmer", 0.02).alias("n_distinct")).crossJoin(per.agg(F.percentile_approx("n", [0.1, 0.5, 0.9], 1000).alias("words_per_read")))  # one row each
+    return k.agg(F.approx_count_distinct("kmer", 0.02).alias("n_distinct"), F.percentile_approx("pos", [0.1, 0.5, 0.9], 1000).alias("positions"))
 
 
 @query(f"WITH {READS} SELECT read_id, substring(seq, 1, 60) || substring(seq, 101, 60) || substring(seq, 201, 60) AS transcript FROM reads WHERE length(seq) >= 260")
