@@ -48,7 +48,7 @@ ANCHOR = "array<struct<q:int,t:int,length:int>>"
 def chains(anchors: DataFrame, indel: float = 0.0, max_gap: int | None = None, max_ratio: float | None = None) -> DataFrame:
     """Best colinear chain of each (q_id, t_id, part): ``(…, q_start, q_end, t_start, t_end, weight, n_anchors, anchors)``.
 
-    A group's anchors are bounded by the read's length times the repeat cap. Chains of one anchor are kept.
+    A group's anchors are bounded by the lengths of its two reads, or the read's length times a repeat cap. Chains of one anchor are kept.
     """
     grouped = anchors.groupBy("q_id", "t_id", "part").agg(F.collect_list(F.struct("q", "t", "length")).cast(ANCHOR).alias("anchors"))
     kinds = {c: grouped.schema[c].dataType.simpleString() for c in ("q_id", "t_id", "part")}

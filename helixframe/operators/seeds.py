@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from helixframe.functions.kmer_codes import kmer_table
 
 
-def seed_join(queries: DataFrame, targets: DataFrame, query_id: str, target_id: str, seq: str, k: int, max_hits: int | None = None, no_self: bool = False) -> DataFrame:
+def seed_join(queries: DataFrame, targets: DataFrame, query_id: str, target_id: str, seq: str, k: int, max_hits: int | None = None, no_self: bool = False, salts: int = 1) -> DataFrame:
     """Equal k-mers of queries and targets: ``(q_id, t_id, q, t)``.
 
     ``max_hits``: a query position with more hits is masked as a repeat (its k-mer is counted over the targets before the
     join, so a hot k-mer never meets it); None keeps all. ``no_self`` leaves out hits of a row in itself. Letters other than A, C, G, T
-    never seed.
+    never seed. ``salts``: the targets of a k-mer are spread over so many parts by row and the queries, as the smaller side, copied to
+    each, so a hot k-mer is shared out and no hit is lost.
     """
     q = kmer_table(queries, query_id, seq, k).select(F.col(query_id).alias("q_id"), F.col("pos").alias("q"), "kmer")
     t = kmer_table(targets, target_id, seq, k).select(F.col(target_id).alias("t_id"), F.col("pos").alias("t"), "kmer")
     if max_hits is not None:
         masked = t.groupBy("kmer").agg(F.count("*").alias("_n")).where(F.col("_n") > max_hits).select("kmer")
         q = q.join(masked, "kmer", "left_anti")
-    hits = q.join(t, "kmer")
+    if salts > 1:
+        t = t.withColumn("_salt", F.pmod(F.xxhash64("t_id"), F.lit(salts)).cast("int"))
+        # Not broadcast: the size Spark sees is that of the reads, before their k-mers are made.
+        q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    hits = q.join(t, ["kmer", "_salt"] if salts > 1 else "kmer")
     if no_self:
         hits = hits.where("q_id <> t_id")
     return hits.select("q_id", "t_id", "q", "t")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import dp, seq
 from helixframe.operators import mapping, seeds, simulate
 from helixframe.plans.data import reads
-from helixframe.plans.relations import _mems
+from helixframe.plans.relations import _all_mems
 from helixframe.session import table
 from helixframe.sources import formats
 
@@ -77,24 +77,24 @@ FROM (SELECT p_partkey, {_D('p_partkey')} || {_D('p_partkey + 1')} AS q FROM par
 
 @query
 def chain_global(spark: S, d: str) -> DataFrame:
-    found = mapping.chains(seeds.contiguous_groups(_mems(spark, d), 500))
+    found = mapping.chains(seeds.contiguous_groups(_all_mems(spark, d), 500))
     return found.drop("anchors")
 
 
 @query
 def chain_restricted(spark: S, d: str) -> DataFrame:
-    return mapping.chains(seeds.contiguous_groups(_mems(spark, d), 500), max_gap=300, max_ratio=3.0).drop("anchors")
+    return mapping.chains(seeds.contiguous_groups(_all_mems(spark, d), 500), max_gap=300, max_ratio=3.0).drop("anchors")
 
 
 @query
 def sdp_chain(spark: S, d: str) -> DataFrame:
-    return mapping.chains(seeds.contiguous_groups(_mems(spark, d), 500), indel=0.5).drop("anchors")
+    return mapping.chains(seeds.contiguous_groups(_all_mems(spark, d), 500), indel=0.5).drop("anchors")
 
 
 @query
 def chain_pvalues(spark: S, d: str) -> DataFrame:
     r = reads(spark, d).select("read_id", "seq")
-    return mapping.with_log_p(mapping.chains(seeds.contiguous_groups(_mems(spark, d), 500)), r, "read_id", "seq", 10).drop("anchors")
+    return mapping.with_log_p(mapping.chains(seeds.contiguous_groups(_all_mems(spark, d), 500)), r, "read_id", "seq", 10).drop("anchors")
 
 
 PARAMS = mapping.MapParams(k=14, max_hits=50, max_score=-150, min_identity=65.0)

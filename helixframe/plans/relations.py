@@ -38,6 +38,16 @@ def _mems(spark: S, d: str) -> DataFrame:
     return seeds.maximal_matches(_hits(spark, d), 16)
 
 
+def _all_hits(spark: S, d: str) -> DataFrame:
+    """Hits of all k-mers, however often they stand in the reads."""
+    r = reads(spark, d).select("read_id", "seq")
+    return seeds.seed_join(r.where("read_id % 100 = 0"), r, "read_id", "read_id", "seq", 16, no_self=True, salts=8)
+
+
+def _all_mems(spark: S, d: str) -> DataFrame:
+    return seeds.maximal_matches(_all_hits(spark, d), 16)
+
+
 @query(f"{_SEEDS} SELECT * FROM h")
 def seed_fixed_k(spark: S, d: str) -> DataFrame:
     """Reads with an id divisible by 100 against all reads."""
@@ -74,6 +84,30 @@ def sliding_anchor_window(spark: S, d: str) -> DataFrame:
     return seeds.candidate_windows(_mems(spark, d), 500)
 
 
+# The same over all hits: those above take the SQL's cap of 20 hits to a k-mer.
+_MASK = (", m AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) > 20)", " AND q.kmer NOT IN (SELECT kmer FROM m)")
+
+
+def _uncapped(sql: str) -> str:
+    for part in _MASK:
+        sql = sql.replace(part, "")
+    return sql
+
+
+QUERIES |= {
+    "seed_fixed_k_all": _all_hits,
+    "seed_join_dna_all": _all_mems,
+    "seed_join_longest_all": lambda spark, d: seeds.longest_only(_all_mems(spark, d)),
+    "anchors_encompassed_all": lambda spark, d: seeds.drop_encompassed(_all_hits(spark, d).withColumn("length", (F.col("q") % 3 + 16).cast("int"))),
+    "anchors_contained_all": lambda spark, d: seeds.drop_contained(_all_hits(spark, d).withColumn("length", (F.col("q") * 7 % 13 + 16).cast("int"))),
+    "islands_contiguous_matches_all": lambda spark, d: seeds.contiguous_groups(_all_mems(spark, d), 50),
+    "sliding_anchor_window_all": lambda spark, d: seeds.candidate_windows(_all_mems(spark, d), 500),
+    "off_diagonal_filter_all": lambda spark, d: _all_hits(spark, d).where("abs(t - q) <= 200"),
+}
+SQL |= {f"{name}_all": _uncapped(SQL[name]) for name in ("seed_fixed_k", "seed_join_dna", "seed_join_longest", "anchors_encompassed", "anchors_contained", "islands_contiguous_matches", "sliding_anchor_window")}
+SQL["off_diagonal_filter_all"] = f"{_uncapped(_SEEDS)} SELECT * FROM h WHERE abs(t - q) <= 200"
+
+
 @query(f"WITH {READS}, k AS {kmers_sql(16)}, n AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) SELECT k.read_id, k.pos, n.n AS hits FROM k JOIN n ON k.kmer = n.kmer WHERE n.n <= 2")
 def repeat_cap(spark: S, d: str) -> DataFrame:
     from helixframe.functions.kmer_codes import kmer_table
