@@ -174,6 +174,54 @@ def exon_best_overlap(spark: S, d: str) -> DataFrame:
     return relational.best_overlap(pairs, ["aln_id"], ("t_start", "t_end"), ("roi_start", "roi_end"), "roi").select("aln_id", "roi", "overlap")
 
 
+# The same over all references, the long one with a tenth of the alignments too: those above leave it out, as their SQL does.
+_SHORT = " WHERE ref_length < 1000000000"
+_ALL_OFFSETS = _OFFSETS.replace(_SHORT, "")
+
+
+def _all_offsets(spark: S, d: str) -> DataFrame:
+    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length")
+    return r.withColumn("offset_pos", F.sum(F.col("ref_length") + 1).over(Window.orderBy("ref_seq_id")) - F.col("ref_length") - 1)
+
+
+def _all_roi(spark: S, d: str) -> DataFrame:
+    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("roi"))
+    return r.select("ref_seq_id", "roi", F.expr("ref_length div 9 * roi").alias("roi_start"), F.expr("ref_length div 9 * roi + 2000").alias("roi_end"))
+
+
+def _all_roi_pairs(spark: S, d: str, kind: str = "overlap") -> DataFrame:
+    a = alignments(spark, d).select("aln_id", "ref_seq_id", "t_start", "t_end")
+    return relational.interval_overlap_join(a, _all_roi(spark, d), "ref_seq_id", ("t_start", "t_end"), ("roi_start", "roi_end"), 4096, kind=kind)
+
+
+@query(f"WITH {_ALL_OFFSETS} SELECT * FROM c")
+def cumulative_offsets_all(spark: S, d: str) -> DataFrame:
+    return _all_offsets(spark, d)
+
+
+@query(f"WITH {_ALL_OFFSETS}, p AS (SELECT l_orderkey, l_linenumber, CAST((l_orderkey * 7919 + l_linenumber * 104729) * 97 % (SELECT sum(ref_length + 1) FROM ref_info) AS BIGINT) AS p FROM lineitem) SELECT p.l_orderkey, p.l_linenumber, p.p AS position, c.ref_seq_id FROM p ASOF LEFT JOIN c ON p.p >= c.offset_pos")
+def contig_asof_lookup_all(spark: S, d: str) -> DataFrame:
+    """Points over the whole length of all references."""
+    total = table(spark, d, "ref_info").agg(F.sum(F.col("ref_length") + 1)).first()[0]
+    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(f"(l_orderkey * 7919 + l_linenumber * 104729) * 97L % {total or 1}L").alias("position"))
+    return relational.asof_join(points, _all_offsets(spark, d).select("offset_pos", "ref_seq_id"), None, "position", "offset_pos", "ref_seq_id")
+
+
+@query(SQL["interval_overlap_roi"].replace(_SHORT, ""))
+def interval_overlap_roi_all(spark: S, d: str) -> DataFrame:
+    return _all_roi_pairs(spark, d).select("aln_id", "ref_seq_id", "roi")
+
+
+@query(SQL["exon_containment"].replace(_SHORT, ""))
+def exon_containment_all(spark: S, d: str) -> DataFrame:
+    return _all_roi_pairs(spark, d, "contained").select("aln_id", "ref_seq_id", "roi")
+
+
+@query(SQL["exon_best_overlap"].replace(_SHORT, ""))
+def exon_best_overlap_all(spark: S, d: str) -> DataFrame:
+    return relational.best_overlap(_all_roi_pairs(spark, d), ["aln_id"], ("t_start", "t_end"), ("roi_start", "roi_end"), "roi").select("aln_id", "roi", "overlap")
+
+
 @query(f"""WITH {ALIGNMENTS} SELECT aln_id FROM alns a WHERE NOT EXISTS (SELECT 1 FROM alns b WHERE b.movie_id IS NOT DISTINCT FROM a.movie_id AND b.hole_number IS NOT DISTINCT FROM a.hole_number AND b.ref_seq_id = a.ref_seq_id AND b.rc_ref_strand = a.rc_ref_strand
   AND b.aln_id <> a.aln_id AND b.t_start <= a.t_start AND b.t_end >= a.t_end AND b.map_qv >= a.map_qv AND NOT (b.t_start = a.t_start AND b.t_end = a.t_end AND b.map_qv = a.map_qv AND b.aln_id > a.aln_id))""")
 def contained_alignments(spark: S, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries that leave nothing out: repeats in the seed join."""
+"""Queries that leave nothing out: repeats in the seed join, the long reference."""
 
 import os
 
@@ -35,3 +35,25 @@ def test_all_seeds_equal_sql(spark, name):
     from test_plans import test_query_equals_sql
 
     test_query_equals_sql(spark, f"{name}_all")
+
+
+def test_long_reference_takes_part(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    d, length = str(tmp_path), 4_200_000_000
+    spark.createDataFrame([(1, length), (2, 9000)], "ref_seq_id int, ref_length long").write.parquet(f"{d}/ref_info.parquet")
+    at = length // 9 * 8
+    columns = "aln_id long, movie_id int, hole_number int, ref_seq_id int, rc_ref_strand int, t_start long, t_end long, r_start int, r_end int, map_qv int, n_m int, n_mm int, n_ins int, n_del int, loaded_at long, aligned_at long"
+    spark.createDataFrame([(7, 1, 1, 1, 0, at + 10, at + 500, 0, 1, 1, 1, 1, 1, 1, 0, 0)], columns).write.parquet(f"{d}/alignment_index.parquet")
+    q = entry.queries()
+    assert rows_of(q["cumulative_offsets_all"](spark, d)) == [(1, length, 0), (2, 9000, length + 1)]
+    assert rows_of(q["interval_overlap_roi_all"](spark, d)) == rows_of(q["exon_containment_all"](spark, d)) == [(7, 1, 8)]
+    assert rows_of(q["exon_best_overlap_all"](spark, d)) == [(7, 8, 24.5)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["cumulative_offsets", "contig_asof_lookup", "interval_overlap_roi", "exon_containment", "exon_best_overlap"])
+def test_all_references_equal_sql(spark, name):
+    from test_plans import test_query_equals_sql
+
+    test_query_equals_sql(spark, f"{name}_all")
