@@ -143,7 +143,9 @@ def cast_value(value: object, rank: int) -> tuple[object, bool]:
         cast = [cast_value(x, REAL) for x in items]
         return [x for x, _ in cast], all(ok for _, ok in cast)
     if isinstance(value, list) and not isinstance(value, _Object):
-        return cast_value(value[0], rank) if len(value) == 1 else (None, False)
+        if len(value) == 1:
+            return cast_value(value[0], rank)
+        return (json.dumps(value), True) if rank == TEXT else (None, False)
     if rank == TEXT:
         return value if isinstance(value, str) else json.dumps(value), True
     if isinstance(value, str):
@@ -157,11 +159,47 @@ def cast_value(value: object, rank: int) -> tuple[object, bool]:
     if isinstance(value, (bool, _Object)) or (isinstance(value, float) and not math.isfinite(value)):
         return None, False
     if rank == REAL:
-        return float(value), True
+        try:
+            return float(value), True
+        except OverflowError:
+            return None, False
     whole = value == int(value) and abs(value) < 1 << 63
     return (int(value), True) if whole else (None, False)
 
 
+def readable_rank(value: object) -> int:
+    """The narrowest of integer, real and list that holds the value as ``cast_value`` reads it; 0 if none does, as for null and text that is no number."""
+    if value is None or isinstance(value, str) and not value.strip():
+        return 0
+    if isinstance(value, list) and not isinstance(value, _Object):
+        return readable_rank(value[0]) if len(value) == 1 else LIST
+    return next((rank for rank in (INTEGER, REAL) if cast_value(value, rank)[1]), 0)
+
+
+def field_types(records: DataFrame, dictionary: DataFrame, declared: dict[str, int]) -> dict[str, int]:
+    """``declared`` with each integer and real field widened to hold every readable value of all files, for ``conform``.
+
+    A number with a fraction or beyond 64 bits makes a field real (exact up to 2^53), a list of other than one element a list. Text
+    that is no number widens nothing, as the field would lose its numbers; a text field stays text, which holds every value.
+    """
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            seen: dict[str, int] = {}
+            for payload in batch.column(0).to_pylist():
+                for name, value in parse_record(payload):
+                    key = name.strip().lower()
+                    if seen.get(key, 0) < LIST:
+                        seen[key] = max(seen.get(key, 0), readable_rank(value))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int32())], ["name", "type"])
+
+    known = dictionary.where(F.col("field_name").isin(*(f for f, rank in declared.items() if rank in (INTEGER, REAL))))
+    known = known.select(F.lower(F.trim("col_name")).alias("name"), "field_name").where("name is not null").distinct()
+    seen = records.select("payload").mapInArrow(kernel, "name string, type int").groupBy("name").agg(F.max("type").alias("type"))
+    widest = seen.join(known, "name").groupBy("field_name").agg(F.max("type").alias("type")).collect()
+    return declared | {r.field_name: max(declared[r.field_name], r.type) for r in widest}
+
+
 def conform(records: DataFrame, dictionary: DataFrame, types: dict[str, int], defaults: dict[str, object] | None = None) -> DataFrame:
     """All records in one table: record keys, one column per field_name, and ``n_uncast``.
 

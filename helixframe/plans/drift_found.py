@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.operators.schema_drift import INTEGER, LIST, REAL, TEXT, conform, schema_changes, schema_versions
+from helixframe.operators.schema_drift import INTEGER, LIST, REAL, TEXT, conform, field_types, schema_changes, schema_versions
 from helixframe.session import table
 
+#: The narrowest type of each field; p6_table widens it to what the files hold.
 FIELD_TYPES = {"MeanSignal": LIST, "ClassifierQV": REAL, "Chemistry": TEXT} | dict.fromkeys(
     "AlnID MovieId RefSeqId HoleNumber tStart tEnd RCRefStrand MapQV IPD PulseWidth nMM SetNumber".split(), INTEGER
 )
@@ -26,7 +27,8 @@ def p6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "col_dictionary"), FIELD_TYPES)
+    records, dictionary = table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "col_dictionary")
+    return conform(records, dictionary, field_types(records, dictionary, FIELD_TYPES))
 
 
 QUERIES = {"p6_found": p6_found, "p6_changes": p6_changes, "p6_versions": p6_versions, "p6_table": p6_table}

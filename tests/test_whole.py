@@ -1,4 +1,4 @@
-"""Queries that leave nothing out: repeats in the seed join, the long reference."""
+"""Queries that leave nothing out: repeats in the seed join, the long reference, values wider than their field."""
 
 import os
 
@@ -57,3 +57,14 @@ def test_all_references_equal_sql(spark, name):
     from test_plans import test_query_equals_sql
 
     test_query_equals_sql(spark, f"{name}_all")
+
+
+def test_table_keeps_wider_values(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    payloads = ['{"IPD": 358.5, "nMM": "53.5", "tEnd": 7, "ClassifierQV": [1, 2, 3, 4], "Chemistry": ["a", "b"]}', '{"IPD": 9, "nMM": "n/a", "ClassifierQV": 0.5, "MapQV": "12"}']
+    spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    names = "IPD nMM tEnd ClassifierQV Chemistry MapQV".split()
+    spark.createDataFrame([(n, n) for n in names], "col_name string, field_name string").write.parquet(f"{tmp_path}/col_dictionary.parquet")
+    got = [tuple(r[n] for n in [*names, "n_uncast"]) for r in entry.queries()["p6_table"](spark, str(tmp_path)).orderBy("record_id").collect()]
+    assert got == [(358.5, 53.5, 7, [1.0, 2.0, 3.0, 4.0], '["a", "b"]', None, 0), (9.0, None, None, [0.5], None, 12, 1)]
