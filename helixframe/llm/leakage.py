@@ -10,11 +10,13 @@ first, and what is left is followed along the item to its full length. Everythin
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters that count as absent: soft hyphen, zero-width space, non-joiner and joiner, byte order mark (fixed values).
 INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0xFEFF])
@@ -141,14 +143,14 @@ class Segment:
             hits.append(diagonal[length >= n] + anchor)
         return np.unique(np.concatenate(hits)) if hits else np.empty(0, np.int64)
 
-    def near(self, item: list[str], terms: int, within: int) -> np.ndarray:
-        """Positions of the rarest of the item's ``terms`` rarest different words where all of them stand within ``within`` words."""
-        known = sorted({self.number.get(w, -1) for w in item}, key=lambda t: self.count(t) if t >= 0 else -1)
-        if not known or known[0] < 0 or len(known) < terms:
+    def near(self, rarest: list[str], within: int) -> np.ndarray:
+        """Positions of the first word where all others stand within ``within`` words, in the same document."""
+        known = [self.number.get(w, -1) for w in rarest]
+        if not known or min(known) < 0:
             return np.empty(0, np.int64)
         at = self.postings(known[0]).astype(np.int64)
         doc = np.searchsorted(self.doc_ends, at, side="right")
-        for t in known[1:terms]:
+        for t in known[1:]:
             p = self.postings(t)
             i = np.searchsorted(p, at)
             right, left = p[np.minimum(i, len(p) - 1)], p[np.maximum(i - 1, 0)]
@@ -159,8 +161,30 @@ class Segment:
         return at
 
 
-def _search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, find) -> DataFrame:
-    """(doc_id, item_id) pairs found by ``find(segment, words)``; items go to the segments in blocks of bounded size."""
+def word_counts(index: DataFrame | DocumentIndex, wanted: set[str]) -> dict[str, int]:
+    """How often each of the ``wanted`` words stands in all rows of the documents; no entry for a word that stands in none."""
+    built = isinstance(index, DocumentIndex)
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in it:
+            if built:
+                for t in batch.column(1).to_pylist():
+                    seen.update(filter(wanted.__contains__, words(t)))
+            else:
+                for row in batch.select(["terms", "term_ends"]).to_pylist():
+                    for w, n in zip(row["terms"], np.diff(row["term_ends"], prepend=0).tolist()):
+                        if w in wanted:
+                            seen[w] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    rows = (index.rows if built else index).mapInArrow(kernel, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r.word: r.n for r in rows.collect()}
+
+
+def _search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, find, prepare=None) -> DataFrame:
+    """(doc_id, item_id) pairs found by ``find(segment, words)``; items go to the segments in blocks of bounded size, as
+    ``prepare(block)`` makes them, if given."""
     rows = items.select(items[item_id].cast("long").alias("item_id"), items[text].alias("text")).where("item_id is not null and text is not null")
     pairs = None
     held: list[tuple[int, list[str]]] = []
@@ -168,6 +192,9 @@ def _search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, te
     source = index.rows if built else index
 
     def one_block(block: list[tuple[int, list[str]]]) -> DataFrame:
+        if prepare:
+            block = prepare(block)
+
         def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _segments(it) if built else it:
                 for n in range(batch.num_rows):
@@ -199,5 +226,16 @@ def phrase_search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: s
 
 
 def proximity_search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, terms: int = 6, within: int = 40) -> DataFrame:
-    """``(doc_id, item_id)``: the item's ``terms`` rarest words (in the segment) all stand near the rarest one in the document."""
-    return _search(index, items, item_id, text, lambda segment, ws: segment.near(ws, terms, within))
+    """``(doc_id, item_id)``: the item's ``terms`` rarest words all stand near the rarest one in the document.
+
+    Rarity is how often a word stands in all documents (repeated rows as often as they are given), of equals the first by letters, so a
+    pair doesn't depend on how the documents are split. Words that stand in no document are passed over; an item with fewer
+    than ``terms`` other words matches nothing.
+    """
+
+    def rarest(block: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
+        counts = word_counts(index, {w for _, ws in block for w in ws})
+        ranked = [(i, sorted({w for w in ws if w in counts}, key=lambda w: (counts[w], w))[:terms]) for i, ws in block]
+        return [(i, ws) for i, ws in ranked if len(ws) == terms]
+
+    return _search(index, items, item_id, text, lambda segment, ws: segment.near(ws, within), rarest)
