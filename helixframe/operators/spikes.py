@@ -65,13 +65,16 @@ def _esd_lambda(n: Column, i: Column, alpha: float) -> Column:
 
 
 def seasonal_esd(
-    df: DataFrame, source: str, row_id: str, position: str, value: str, period: int, trend_width: int, alpha: float = 0.05, max_share: float = 0.1
+    df: DataFrame, source: str, row_id: str, position: str, value: str, period: int, trend_width: int, alpha: float = 0.05, max_share: float | None = None
 ) -> DataFrame:
     """Readings whose residual from trend and season is beyond the generalised ESD limits of their source.
 
     Trend: the median of each run of ``trend_width`` positions; season: the median of the detrended readings per
     ``position % period``; residual: what is left. Residuals are studentised by median and 1.4826 MAD of the source
-    and tested from the largest down, ``max_share`` of the readings at most. Returns ``(source, row_id, residual,
+    and tested from the largest down, through the n - 2 that have a limit; ``max_share`` stops sooner, at that share of the
+    readings (a tie that begins within it is tested whole). Half the deviates are at most 0.68 and every limit is above 1, so no
+    more than half are ever flagged. Equal deviates have the limit of the last of them, which is the lowest: as the test counts
+    the outliers up to the last rank beyond its limit, that flags the same rows in any order of the ties. Returns ``(source, row_id, residual,
     deviate)``. Null readings, sources or positions take no part, a source with MAD 0 reports nothing, repeats of
     a row_id count once, ties of the deviate are flagged alike.
     """
@@ -89,7 +92,9 @@ def seasonal_esd(
     tested = counts.join(limits.where("mad > 0"), "_s").withColumn("_r", deviate).groupBy("_s", "n", "_r").agg(F.sum("_c").alias("_c"))
     w = Window.partitionBy("_s").orderBy(F.desc("_r"))
     tested = tested.withColumn("_i", F.sum("_c").over(w))
-    beyond = (F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("n") * max_share))) & (F.col("_r") > _esd_lambda(F.col("n"), F.col("_i"), alpha))
+    beyond = F.col("_r") > _esd_lambda(F.col("n"), F.col("_i"), alpha)
+    if max_share is not None:
+        beyond = beyond & (F.col("_i") - F.col("_c") < F.greatest(F.lit(1), F.floor(F.col("n") * max_share)))
     least = tested.where(beyond).groupBy("_s").agg(F.min("_r").alias("_least"))
     flagged = rows.join(limits, "_s").join(least, "_s").withColumn("_r", deviate).where("_r >= _least")
     return flagged.select(F.col("_s").alias(source), F.col("_id").alias(row_id), F.col("_v").alias("residual"), F.col("_r").alias("deviate"))

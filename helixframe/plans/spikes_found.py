@@ -29,7 +29,12 @@ def p2_seasonal_esd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasonal_esd(table(spark, sf_dir, "pulse_calls"), "movie_id", "pulse_id", "base_index", "pre_base_frames", period=8, trend_width=64)
 
 
-QUERIES = {"p2_found": p2_found, "p2_seasonal_esd": p2_seasonal_esd}
+def p2_seasonal_esd_qv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for deletion_qv."""
+    return seasonal_esd(table(spark, sf_dir, "pulse_calls"), "movie_id", "pulse_id", "base_index", "deletion_qv", period=8, trend_width=64)
+
+
+QUERIES = {"p2_found": p2_found, "p2_seasonal_esd": p2_seasonal_esd, "p2_seasonal_esd_qv": p2_seasonal_esd_qv}
 
 SQL = {
     "p2_found": """

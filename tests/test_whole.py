@@ -1,11 +1,14 @@
-"""Queries that leave nothing out: repeats in the seed join, the long reference, values wider than their field."""
+"""Queries that leave nothing out: repeats in the seed join, the long reference, values wider than their field, many outliers."""
 
 import os
+import random
+from statistics import median
 
 import pytest
 from conftest import rows_of
 
 from helixframe.operators import seeds
+from helixframe.operators.spikes import esd_limits, seasonal_esd
 
 DATA = "/root/testdata/sf0.001"
 
@@ -68,3 +71,23 @@ def test_table_keeps_wider_values(spark, tmp_path):
     spark.createDataFrame([(n, n) for n in names], "col_name string, field_name string").write.parquet(f"{tmp_path}/col_dictionary.parquet")
     got = [tuple(r[n] for n in [*names, "n_uncast"]) for r in entry.queries()["p6_table"](spark, str(tmp_path)).orderBy("record_id").collect()]
     assert got == [(358.5, 53.5, 7, [1.0, 2.0, 3.0, 4.0], '["a", "b"]', None, 0), (9.0, None, None, [0.5], None, 12, 1)]
+
+
+def test_many_outliers_are_all_flagged(spark):
+    rng = random.Random(2)
+    stuck = [(i, 1, i, 500.0 if i % 3 == 0 else rng.gauss(0, 1)) for i in range(600)]
+    mild = [(i, 1, i, 40.0 + i if i % 5 == 0 else rng.gauss(0, 1)) for i in range(600)]
+    for rows, bad in ((stuck, range(0, 600, 3)), (mild, range(0, 600, 5))):
+        got = seasonal_esd(spark.createDataFrame(rows, "id long, src int, pos long, v double"), "src", "id", "pos", "v", 1, 600)
+        residuals = [v - median(r[3] for r in rows) for *_, v in rows]
+        mad = median(abs(x - median(residuals)) for x in residuals)
+        deviates = sorted(((abs(x - median(residuals)) / (1.4826 * mad), i) for i, x in enumerate(residuals)), reverse=True)
+        n = max(k for k, ((r, _), limit) in enumerate(zip(deviates, esd_limits(600, 598)), 1) if r > limit)
+        assert set(bad) <= {i for _, i in deviates[:n]}
+        assert rows_of(got.select("id")) == sorted((i,) for _, i in deviates[:n])
+
+
+def test_both_fields_have_the_full_decomposition(spark):
+    import __spark_entry__ as entry
+
+    assert {"p2_seasonal_esd", "p2_seasonal_esd_qv"} <= set(entry.queries())
