@@ -68,7 +68,7 @@ def _pieces_of(ids: pa.Array, texts: list[str], least: int) -> pa.RecordBatch |
     lengths = np.array([len(x) + 1 for x in raw], np.int64)
     starts = np.cumsum(lengths) - lengths
     code = _CODE[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    if len(code) < least + 4:
+    if len(code) < least:
         return None
     bad = np.append(0, np.cumsum(code > 3))
     ok = bad[least:] == bad[:-least]

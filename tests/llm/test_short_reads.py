@@ -1,0 +1,20 @@
+import random
+
+import pyarrow as pa
+import pytest
+
+from helixframe.llm import shared_spans
+
+
+@pytest.mark.parametrize("length", [60, 61, 62, 63, 64])
+def test_read_alone_in_its_chunk_gives_pieces(length):
+    """The same pieces as beside another read, at every length."""
+    rng = random.Random(length)
+    one, other = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (length, 90))
+    alone = shared_spans._pieces_of(pa.array([1]), [one], 60).to_pylist()
+    beside = shared_spans._pieces_of(pa.array([1, 2]), [one, other], 60).to_pylist()
+    assert alone and alone == [r for r in beside if r["id"] == 1]
+
+
+def test_too_short_alone():
+    assert shared_spans._pieces_of(pa.array([1]), ["A" * 59], 60) is None and shared_spans._pieces_of(pa.array([1]), [""], 60) is None
