@@ -38,20 +38,31 @@ def end_support(df: DataFrame, key: str, start: str, end: str, width: int, least
 
 
 def operations_on_reference(df: DataFrame, ops: str, start: str) -> DataFrame:
-    """One row per CIGAR operation: ``op, len, t_from`` with its place on the reference (all other columns kept)."""
-    rows = df.select("*", F.posexplode(ops).alias("op_no", "_o"))
-    moved = F.aggregate(F.slice(F.col(ops), F.lit(1), F.col("op_no")), F.lit(0), lambda a, o: a + F.when(o["op"].isin("M", "=", "X", "D", "N"), o["len"]).otherwise(0))
-    return rows.withColumn("t_from", F.col(start) + moved).select(*df.columns, "op_no", F.col("_o.op").alias("op"), F.col("_o.len").alias("len"), "t_from").drop(ops)
+    """One row per CIGAR operation: ``op, len, t_from`` with its place on the reference (all other columns kept).
+
+    One pass over the operations carries the place along.
+    """
+    none = F.expr("cast(array() as array<struct<op:string,len:bigint,moved:bigint>>)")
+
+    def step(done, o):
+        at, n = done["at"], o["len"].cast("long")
+        placed = F.struct(o["op"].alias("op"), n.alias("len"), at.alias("moved"))
+        return F.struct((at + F.when(o["op"].isin("M", "=", "X", "D", "N"), n).otherwise(F.lit(0).cast("long"))).alias("at"), F.concat(done["placed"], F.array(placed)).alias("placed"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), none.alias("placed"))
+    rows = df.select("*", F.posexplode(F.aggregate(F.col(ops), begin, step, lambda done: done["placed"])).alias("op_no", "_o"))
+    kept = [c for c in df.columns if c != ops]
+    return rows.select(*kept, "op_no", F.col("_o.op").alias("op"), F.col("_o.len").cast("int").alias("len"), (F.col(start) + F.col("_o.moved")).alias("t_from"))
 
 
 def consensus_counts(placed: DataFrame, key: str, width: int) -> DataFrame:
     """``(key, bin, m, d, i)`` from placed operations: matched and deleted bases by position, inserted bases where they stand."""
-    flat = with_bins(placed.where(F.col("op").isin("M", "=", "X", "D")).withColumn("_e", F.col("t_from") + F.col("len")), "t_from", "_e", width)
-    n = F.least(F.col("_e"), (F.col("_bin") + 1) * width) - F.greatest(F.col("t_from"), F.col("_bin") * width)
-    zero = F.lit(0).cast("long")
-    on = flat.select(key, "_bin", F.when(F.col("op") != "D", n).otherwise(zero).alias("m"), F.when(F.col("op") == "D", n).otherwise(zero).alias("d"), zero.alias("i"))
-    ins = placed.where("op = 'I'").select(key, F.floor(F.col("t_from") / width).alias("_bin"), zero.alias("m"), zero.alias("d"), F.col("len").cast("long").alias("i"))
-    return on.unionByName(ins).groupBy(key, F.col("_bin").alias("bin")).agg(*(F.sum(c).alias(c) for c in "mdi"))
+    rows = placed.where(F.col("op").isin("M", "=", "X", "D", "I") & (F.col("len") > 0)).select(key, "op", F.col("len").cast("long").alias("len"), "t_from")
+    last = F.when(F.col("op") == "I", F.col("t_from")).otherwise(F.col("t_from") + F.col("len") - 1)
+    flat = rows.withColumn("_bin", F.explode(F.sequence(F.expr(f"t_from div {width}"), F.floor(last / width))))
+    inside = F.least(F.col("t_from") + F.col("len"), (F.col("_bin") + 1) * width) - F.greatest(F.col("t_from"), F.col("_bin") * width)
+    of = lambda when, n: F.sum(F.when(when, n).otherwise(F.lit(0).cast("long")))
+    return flat.groupBy(key, F.col("_bin").alias("bin")).agg(of(F.col("op").isin("M", "=", "X"), inside).alias("m"), of(F.col("op") == "D", inside).alias("d"), of(F.col("op") == "I", F.col("len")).alias("i"))
 
 
 def merged_gaps(placed: DataFrame, row_id: str, merge_within: int, least: int) -> DataFrame:

@@ -15,13 +15,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments with a reference and sound bounds, repeats taken out."""
-    rows = table(spark, sf_dir, "alignment_index").drop("loaded_at", "aligned_at").where("ref_seq_id is not null and t_start >= 0 and t_start < t_end and t_end - t_start <= 100000")
-    return rows.dropDuplicates(["aln_id"])
+    """Alignments with sound bounds on a known reference, of any length, repeats taken out."""
+    lengths = table(spark, sf_dir, "ref_info").select("ref_seq_id", "ref_length")
+    rows = table(spark, sf_dir, "alignment_index").drop("loaded_at", "aligned_at").where("ref_seq_id is not null and t_start >= 0 and t_start < t_end")
+    return rows.join(lengths, "ref_seq_id").where("t_end <= ref_length").drop("ref_length").dropDuplicates(["aln_id"])
 
 
 READS = "reads AS (SELECT read_id, any_value(read_name) AS read_name, any_value(movie_id) AS movie_id, any_value(zmw) AS zmw, upper(any_value(basecall)) AS seq, any_value(qual) AS qual, any_value(rq) AS rq, any_value(n_passes) AS n_passes FROM bas_reads WHERE read_id IS NOT NULL AND length(basecall) > 0 GROUP BY read_id)"
-ALIGNMENTS = "alns AS (SELECT DISTINCT aln_id, movie_id, hole_number, ref_seq_id, rc_ref_strand, t_start, t_end, r_start, r_end, map_qv, n_m, n_mm, n_ins, n_del FROM alignment_index WHERE ref_seq_id IS NOT NULL AND t_start >= 0 AND t_start < t_end AND t_end - t_start <= 100000)"
+ALIGNMENTS = "alns AS (SELECT DISTINCT a.aln_id, a.movie_id, a.hole_number, a.ref_seq_id, a.rc_ref_strand, a.t_start, a.t_end, a.r_start, a.r_end, a.map_qv, a.n_m, a.n_mm, a.n_ins, a.n_del FROM alignment_index a JOIN ref_info i ON a.ref_seq_id = i.ref_seq_id WHERE a.t_start >= 0 AND a.t_start < a.t_end AND a.t_end <= i.ref_length)"
 
 
 def kmers_sql(k: int, source: str = "reads", key: str = "read_id") -> str:

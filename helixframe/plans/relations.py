@@ -25,27 +25,18 @@ def query(sql: str | None = None):
     return register
 
 
-_SEEDS = f"WITH {READS}, k AS {kmers_sql(16)}, m AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) > 20), h AS (SELECT q.read_id AS q_id, t.read_id AS t_id, q.pos AS q, t.pos AS t FROM k q JOIN k t ON q.kmer = t.kmer WHERE q.read_id % 100 = 0 AND q.read_id <> t.read_id AND q.kmer NOT IN (SELECT kmer FROM m))"
+_SEEDS = f"WITH {READS}, k AS {kmers_sql(16)}, h AS (SELECT q.read_id AS q_id, t.read_id AS t_id, q.pos AS q, t.pos AS t FROM k q JOIN k t ON q.kmer = t.kmer WHERE q.read_id % 100 = 0 AND q.read_id <> t.read_id)"
 _MEM = f"{_SEEDS}, r AS (SELECT *, q - row_number() OVER (PARTITION BY q_id, t_id, t - q ORDER BY q) AS g FROM h), mem AS (SELECT q_id, t_id, min(q) AS q, min(t) AS t, CAST(max(q) - min(q) + 16 AS INTEGER) AS length FROM r GROUP BY q_id, t_id, t - q, g)"
 
 
 def _hits(spark: S, d: str) -> DataFrame:
-    r = reads(spark, d).select("read_id", "seq")
-    return seeds.seed_join(r.where("read_id % 100 = 0"), r, "read_id", "read_id", "seq", 16, max_hits=20, no_self=True)
-
-
-def _mems(spark: S, d: str) -> DataFrame:
-    return seeds.maximal_matches(_hits(spark, d), 16)
-
-
-def _all_hits(spark: S, d: str) -> DataFrame:
     """Hits of all k-mers, however often they stand in the reads."""
     r = reads(spark, d).select("read_id", "seq")
     return seeds.seed_join(r.where("read_id % 100 = 0"), r, "read_id", "read_id", "seq", 16, no_self=True, salts=8)
 
 
-def _all_mems(spark: S, d: str) -> DataFrame:
-    return seeds.maximal_matches(_all_hits(spark, d), 16)
+def _mems(spark: S, d: str) -> DataFrame:
+    return seeds.maximal_matches(_hits(spark, d), 16)
 
 
 @query(f"{_SEEDS} SELECT * FROM h")
@@ -84,30 +75,6 @@ def sliding_anchor_window(spark: S, d: str) -> DataFrame:
     return seeds.candidate_windows(_mems(spark, d), 500)
 
 
-# The same over all hits: those above take the SQL's cap of 20 hits to a k-mer.
-_MASK = (", m AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) > 20)", " AND q.kmer NOT IN (SELECT kmer FROM m)")
-
-
-def _uncapped(sql: str) -> str:
-    for part in _MASK:
-        sql = sql.replace(part, "")
-    return sql
-
-
-QUERIES |= {
-    "seed_fixed_k_all": _all_hits,
-    "seed_join_dna_all": _all_mems,
-    "seed_join_longest_all": lambda spark, d: seeds.longest_only(_all_mems(spark, d)),
-    "anchors_encompassed_all": lambda spark, d: seeds.drop_encompassed(_all_hits(spark, d).withColumn("length", (F.col("q") % 3 + 16).cast("int"))),
-    "anchors_contained_all": lambda spark, d: seeds.drop_contained(_all_hits(spark, d).withColumn("length", (F.col("q") * 7 % 13 + 16).cast("int"))),
-    "islands_contiguous_matches_all": lambda spark, d: seeds.contiguous_groups(_all_mems(spark, d), 50),
-    "sliding_anchor_window_all": lambda spark, d: seeds.candidate_windows(_all_mems(spark, d), 500),
-    "off_diagonal_filter_all": lambda spark, d: _all_hits(spark, d).where("abs(t - q) <= 200"),
-}
-SQL |= {f"{name}_all": _uncapped(SQL[name]) for name in ("seed_fixed_k", "seed_join_dna", "seed_join_longest", "anchors_encompassed", "anchors_contained", "islands_contiguous_matches", "sliding_anchor_window")}
-SQL["off_diagonal_filter_all"] = f"{_uncapped(_SEEDS)} SELECT * FROM h WHERE abs(t - q) <= 200"
-
-
 @query(f"WITH {READS}, k AS {kmers_sql(16)}, n AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) SELECT k.read_id, k.pos, n.n AS hits FROM k JOIN n ON k.kmer = n.kmer WHERE n.n <= 2")
 def repeat_cap(spark: S, d: str) -> DataFrame:
     from helixframe.functions.kmer_codes import kmer_table
@@ -124,12 +91,12 @@ def sort_merge_pair_join(spark: S, d: str) -> DataFrame:
     return relational.pair_join(left, right, "o_custkey", "o_orderkey", "l_id")
 
 
-_OFFSETS = "c AS (SELECT ref_seq_id, ref_length, CAST(sum(ref_length + 1) OVER (ORDER BY ref_seq_id) - ref_length - 1 AS BIGINT) AS offset_pos FROM ref_info WHERE ref_length < 1000000000)"
+_OFFSETS = "c AS (SELECT ref_seq_id, ref_length, CAST(sum(ref_length + 1) OVER (ORDER BY ref_seq_id) - ref_length - 1 AS BIGINT) AS offset_pos FROM ref_info)"
 
 
 def _offsets(spark: S, d: str) -> DataFrame:
     w = Window.orderBy("ref_seq_id")
-    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length").where("ref_length < 1000000000")
+    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length")
     return r.withColumn("offset_pos", F.sum(F.col("ref_length") + 1).over(w) - F.col("ref_length") - 1)
 
 
@@ -138,18 +105,20 @@ def cumulative_offsets(spark: S, d: str) -> DataFrame:
     return _offsets(spark, d)
 
 
-@query(f"WITH {_OFFSETS}, p AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7919 + l_linenumber * 104729) % 40000000 AS p FROM lineitem) SELECT p.l_orderkey, p.l_linenumber, p.p AS position, c.ref_seq_id FROM p ASOF LEFT JOIN c ON p.p >= c.offset_pos")
+@query(f"WITH {_OFFSETS}, p AS (SELECT l_orderkey, l_linenumber, CAST((l_orderkey * 7919 + l_linenumber * 104729) * 97 % (SELECT sum(ref_length + 1) FROM ref_info) AS BIGINT) AS p FROM lineitem) SELECT p.l_orderkey, p.l_linenumber, p.p AS position, c.ref_seq_id FROM p ASOF LEFT JOIN c ON p.p >= c.offset_pos")
 def contig_asof_lookup(spark: S, d: str) -> DataFrame:
-    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("(l_orderkey * 7919 + l_linenumber * 104729) % 40000000").alias("position"))
+    """Points over the whole length of all references."""
+    total = table(spark, d, "ref_info").agg(F.sum(F.col("ref_length") + 1)).first()[0]
+    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(f"(l_orderkey * 7919 + l_linenumber * 104729) * 97L % {total or 1}L").alias("position"))
     return relational.asof_join(points, _offsets(spark, d).select("offset_pos", "ref_seq_id"), None, "position", "offset_pos", "ref_seq_id")
 
 
 # Regions of interest: of each reference, eight stretches of 2,000 at even distances.
-_ROI = "roi AS (SELECT ref_seq_id, CAST(i AS INTEGER) AS roi, ref_length // 9 * i AS roi_start, ref_length // 9 * i + 2000 AS roi_end FROM (SELECT ref_seq_id, ref_length, CAST(unnest(range(1, 9)) AS INTEGER) AS i FROM ref_info WHERE ref_length < 1000000000))"
+_ROI = "roi AS (SELECT ref_seq_id, CAST(i AS INTEGER) AS roi, ref_length // 9 * i AS roi_start, ref_length // 9 * i + 2000 AS roi_end FROM (SELECT ref_seq_id, ref_length, CAST(unnest(range(1, 9)) AS INTEGER) AS i FROM ref_info))"
 
 
 def _roi(spark: S, d: str) -> DataFrame:
-    r = table(spark, d, "ref_info").where("ref_length < 1000000000").select("ref_seq_id", "ref_length", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("roi"))
+    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("roi"))
     return r.select("ref_seq_id", "roi", F.expr("ref_length div 9 * roi").alias("roi_start"), F.expr("ref_length div 9 * roi + 2000").alias("roi_end"))
 
 
@@ -174,54 +143,6 @@ def exon_best_overlap(spark: S, d: str) -> DataFrame:
     return relational.best_overlap(pairs, ["aln_id"], ("t_start", "t_end"), ("roi_start", "roi_end"), "roi").select("aln_id", "roi", "overlap")
 
 
-# The same over all references, the long one with a tenth of the alignments too: those above leave it out, as their SQL does.
-_SHORT = " WHERE ref_length < 1000000000"
-_ALL_OFFSETS = _OFFSETS.replace(_SHORT, "")
-
-
-def _all_offsets(spark: S, d: str) -> DataFrame:
-    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length")
-    return r.withColumn("offset_pos", F.sum(F.col("ref_length") + 1).over(Window.orderBy("ref_seq_id")) - F.col("ref_length") - 1)
-
-
-def _all_roi(spark: S, d: str) -> DataFrame:
-    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("roi"))
-    return r.select("ref_seq_id", "roi", F.expr("ref_length div 9 * roi").alias("roi_start"), F.expr("ref_length div 9 * roi + 2000").alias("roi_end"))
-
-
-def _all_roi_pairs(spark: S, d: str, kind: str = "overlap") -> DataFrame:
-    a = alignments(spark, d).select("aln_id", "ref_seq_id", "t_start", "t_end")
-    return relational.interval_overlap_join(a, _all_roi(spark, d), "ref_seq_id", ("t_start", "t_end"), ("roi_start", "roi_end"), 4096, kind=kind)
-
-
-@query(f"WITH {_ALL_OFFSETS} SELECT * FROM c")
-def cumulative_offsets_all(spark: S, d: str) -> DataFrame:
-    return _all_offsets(spark, d)
-
-
-@query(f"WITH {_ALL_OFFSETS}, p AS (SELECT l_orderkey, l_linenumber, CAST((l_orderkey * 7919 + l_linenumber * 104729) * 97 % (SELECT sum(ref_length + 1) FROM ref_info) AS BIGINT) AS p FROM lineitem) SELECT p.l_orderkey, p.l_linenumber, p.p AS position, c.ref_seq_id FROM p ASOF LEFT JOIN c ON p.p >= c.offset_pos")
-def contig_asof_lookup_all(spark: S, d: str) -> DataFrame:
-    """Points over the whole length of all references."""
-    total = table(spark, d, "ref_info").agg(F.sum(F.col("ref_length") + 1)).first()[0]
-    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(f"(l_orderkey * 7919 + l_linenumber * 104729) * 97L % {total or 1}L").alias("position"))
-    return relational.asof_join(points, _all_offsets(spark, d).select("offset_pos", "ref_seq_id"), None, "position", "offset_pos", "ref_seq_id")
-
-
-@query(SQL["interval_overlap_roi"].replace(_SHORT, ""))
-def interval_overlap_roi_all(spark: S, d: str) -> DataFrame:
-    return _all_roi_pairs(spark, d).select("aln_id", "ref_seq_id", "roi")
-
-
-@query(SQL["exon_containment"].replace(_SHORT, ""))
-def exon_containment_all(spark: S, d: str) -> DataFrame:
-    return _all_roi_pairs(spark, d, "contained").select("aln_id", "ref_seq_id", "roi")
-
-
-@query(SQL["exon_best_overlap"].replace(_SHORT, ""))
-def exon_best_overlap_all(spark: S, d: str) -> DataFrame:
-    return relational.best_overlap(_all_roi_pairs(spark, d), ["aln_id"], ("t_start", "t_end"), ("roi_start", "roi_end"), "roi").select("aln_id", "roi", "overlap")
-
-
 @query(f"""WITH {ALIGNMENTS} SELECT aln_id FROM alns a WHERE NOT EXISTS (SELECT 1 FROM alns b WHERE b.movie_id IS NOT DISTINCT FROM a.movie_id AND b.hole_number IS NOT DISTINCT FROM a.hole_number AND b.ref_seq_id = a.ref_seq_id AND b.rc_ref_strand = a.rc_ref_strand
   AND b.aln_id <> a.aln_id AND b.t_start <= a.t_start AND b.t_end >= a.t_end AND b.map_qv >= a.map_qv AND NOT (b.t_start = a.t_start AND b.t_end = a.t_end AND b.map_qv = a.map_qv AND b.aln_id > a.aln_id))""")
 def contained_alignments(spark: S, d: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_queries_take_hot_words(spark, tmp_path):
     rows = [(i, f"r{i}", 1, i, word, "", 0.9, 1) for i in range(100, 160)]
     spark.createDataFrame(rows, "read_id long, read_name string, movie_id int, zmw int, basecall string, qual string, rq double, n_passes int").write.parquet(f"{tmp_path}/bas_reads.parquet")
     q = entry.queries()
-    assert q["seed_join_dna_all"](spark, str(tmp_path)).count() == 59
+    assert q["seed_join_dna"](spark, str(tmp_path)).count() == 59
     assert q["chain_global"](spark, str(tmp_path)).count() == 59
 
 
@@ -37,7 +37,7 @@ def test_queries_take_hot_words(spark, tmp_path):
 def test_all_seeds_equal_sql(spark, name):
     from test_plans import test_query_equals_sql
 
-    test_query_equals_sql(spark, f"{name}_all")
+    test_query_equals_sql(spark, name)
 
 
 def test_long_reference_takes_part(spark, tmp_path):
@@ -49,9 +49,9 @@ def test_long_reference_takes_part(spark, tmp_path):
     columns = "aln_id long, movie_id int, hole_number int, ref_seq_id int, rc_ref_strand int, t_start long, t_end long, r_start int, r_end int, map_qv int, n_m int, n_mm int, n_ins int, n_del int, loaded_at long, aligned_at long"
     spark.createDataFrame([(7, 1, 1, 1, 0, at + 10, at + 500, 0, 1, 1, 1, 1, 1, 1, 0, 0)], columns).write.parquet(f"{d}/alignment_index.parquet")
     q = entry.queries()
-    assert rows_of(q["cumulative_offsets_all"](spark, d)) == [(1, length, 0), (2, 9000, length + 1)]
-    assert rows_of(q["interval_overlap_roi_all"](spark, d)) == rows_of(q["exon_containment_all"](spark, d)) == [(7, 1, 8)]
-    assert rows_of(q["exon_best_overlap_all"](spark, d)) == [(7, 8, 24.5)]
+    assert rows_of(q["cumulative_offsets"](spark, d)) == [(1, length, 0), (2, 9000, length + 1)]
+    assert rows_of(q["interval_overlap_roi"](spark, d)) == rows_of(q["exon_containment"](spark, d)) == [(7, 1, 8)]
+    assert rows_of(q["exon_best_overlap"](spark, d)) == [(7, 8, 24.5)]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -59,7 +59,7 @@ def test_long_reference_takes_part(spark, tmp_path):
 def test_all_references_equal_sql(spark, name):
     from test_plans import test_query_equals_sql
 
-    test_query_equals_sql(spark, f"{name}_all")
+    test_query_equals_sql(spark, name)
 
 
 def test_table_keeps_wider_values(spark, tmp_path):
