@@ -1,98 +1,246 @@
 """Exact percentiles per group of very large numeric columns, by distributed multi-select on mergeable summaries.
 
-A summary counts equal values per group (and, if asked, per part such as a day); summaries of parts merge by adding counts,
-so the result is the same at once or combined, and the rank error is 0. Selection runs on the summary, split by a salt
-over the values so that a hot group is many pieces: each piece proposes its local median of every active range,
-the weighted median of the proposals is the range's pivot, values below, at and above it are counted, and each sought rank
-moves into the part that holds it. Ranges that hold no sought rank are dropped; ranks that share a range share its pivot.
+A summary is made where the rows lie: every task packs the values of each group and field into sorted pieces of different
+values with their counts. Summaries of parts (days, files) merge by putting their pieces together, so a result is the same at
+once or combined, and the rank error is 0. A hot group is simply many pieces of many tasks.
+
+Selection works in rounds of one pass over the pieces, whatever their number. Every sought rank has an open range of values and
+a pivot in it. A task counts its values of the range below, at and above the pivot, and proposes the median of its values
+on either side, weighted by how many different values it has there. The counts say on which side the rank lies (or that it is the
+pivot); the other side is ruled out, and the weighted median of the proposals for the side that is left is its next pivot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.session import cut
 
-#: Rounds after which the selection gives up with an error; each round drops a quarter of a range or more as a rule.
+#: Rounds after which the selection gives up with an error; each rules out a quarter of a range's different values or more.
 MAX_ROUNDS = 200
+#: Rows packed at a time, which bounds a task's memory; more of them give more pieces.
+PACK_ROWS = 2_000_000
+#: Groups selected at a time; the driver holds their ranges (some 50 bytes a rank), the tasks read them.
+BLOCK_GROUPS = 50_000
+#: Ranges for which a task gathers its counts and proposals before it passes them on.
+HELD_RANGES = 50_000
+_LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers of the same order; the infinities lie within, both zeros are one."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(_HIGHEST), bits)
+
+
+def _value_of(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < 0, codes ^ np.int64(_HIGHEST), codes).view(np.float64)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int64)), pa.array(values)).cast(pa.list_(pa.int64()))
 
 
-def summarise(df: DataFrame, groups: list[str], fields: list[str], row_key: list[str], part: list[str] | None = None) -> DataFrame:
-    """Counted values: ``(*groups, *part, field, value, cnt)``.
+def _pack(n_groups: int, fields: list[str]):
+    def pieces(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns[:n_groups]], [f"g{i}" for i in range(n_groups)]) if n_groups else None
+        if keys is not None:
+            group = t.select(list(range(n_groups))).group_by(t.column_names[:n_groups], use_threads=False).aggregate([]).to_pylist()
+            number = {tuple(g.values()): i for i, g in enumerate(group)}
+            columns = [c.to_pylist() for c in t.columns[:n_groups]]
+            of = np.fromiter((number[k] for k in zip(*columns)), np.int64, t.num_rows)
+            names = list(number)
+        else:
+            of, names = np.zeros(t.num_rows, np.int64), [()]
+        for i, field in enumerate(fields):
+            column = t.column(n_groups + i)
+            v = column.to_numpy(zero_copy_only=False).astype(np.float64)  # a null comes as NaN
+            ok = ~np.isnan(v)
+            code, g = _ordered(v[ok]), of[ok]
+            if not len(code):
+                continue
+            order = np.lexsort((code, g))
+            code, g = code[order], g[order]
+            head = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (g[1:] != g[:-1])))
+            count, code, g = np.diff(np.append(head, len(code))), code[head], g[head]
+            ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+            which = g[ends - 1]
+            keys_of = [pa.array([names[w][k] for w in which], t.schema.field(k).type) for k in range(n_groups)]
+            yield pa.RecordBatch.from_arrays(
+                [*keys_of, pa.array([field] * len(which)), _lists(code, ends), _lists(count.astype(np.int64), ends)], [*t.column_names[:n_groups], "field", "codes", "counts"]
+            )
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in it:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PACK_ROWS:
+                yield from pieces(held)
+                held, rows = [], 0
+        if rows:
+            yield from pieces(held)
+
+    return kernel
 
-    Nulls and NaN are left out; rows that repeat ``row_key`` count once (rows with a null in it too, as equal). A group
-    may be null. Values are taken as double.
+
+def summarise(df: DataFrame, groups: list[str], fields: list[str], row_key: list[str], part: list[str] | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """Packed pieces ``(*groups, *part, field, codes, counts)``: the different values in order, as order-keeping numbers, and their counts.
+
+    Nulls and NaN are left out. Rows that repeat ``row_key`` count once, in one of their parts, also if they come in several; a row
+    with a null in its key repeats only rows equal to it in the groups and fields. A part summarised on its own passes the rows of
+    ``earlier`` parts, whose keys are then left out. A group may be null. Values are taken as double. Extra columns are not read.
     """
-    part = part or []
-    # Equal deliveries fall together per key before any value is counted.
-    once = df.select(*dict.fromkeys([*row_key, *groups, *part]), *fields).dropDuplicates([*row_key, *part])
-    values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields)))
-    long = once.select(*groups, *part, values.alias("x")).select(*groups, *part, "x.field", "x.value").where("value is not null and not isnan(value)")
-    return long.groupBy(*groups, *part, "field", "value").agg(F.count("*").alias("cnt"))
+    by = [*groups, *(part or [])]
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in row_key))
+    rows = df.select(*dict.fromkeys([*row_key, *by]), *(c for c in fields if c not in row_key and c not in by))
+    if earlier is not None:
+        rows = rows.join(earlier.select(*row_key).where(known), row_key, "left_anti")
+    rows = rows.withColumn("_alike", F.when(~known, F.to_json(F.struct(*groups, *fields)))).dropDuplicates([*row_key, "_alike"])
+    plain = rows.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), *(F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(fields)))
+    schema = ", ".join([*(f"_g{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(by)), "field string, codes array<bigint>, counts array<bigint>"])
+    packed = plain.mapInArrow(_pack(len(by), fields), schema)
+    return packed.select(*(F.col(f"_g{i}").alias(c) for i, c in enumerate(by)), "field", "codes", "counts")
+
 
+def merge(*summaries: DataFrame, groups: list[str]) -> DataFrame:
+    """One summary of all parts: their pieces together; columns outside ``groups`` are dropped."""
+    return reduce(DataFrame.unionByName, (s.select(*groups, "field", "codes", "counts") for s in summaries))
 
-def merge(summary: DataFrame, groups: list[str]) -> DataFrame:
-    """One summary of all parts: counts of equal values added; columns outside ``groups`` are dropped."""
-    return summary.groupBy(*groups, "field", "value").agg(F.sum("cnt").alias("cnt"))
 
+def _middle(values: list[int], weights: list[int]) -> tuple[int, int]:
+    """Weighted median (the lower one) and the sum of the weights."""
+    order = np.argsort(np.array(values, np.int64), kind="stable")
+    w = np.cumsum(np.array(weights, np.int64)[order])
+    return values[order[int(np.searchsorted(w * 2, w[-1]))]], int(w[-1])
 
-def multi_select(summary: DataFrame, keys: list[str], per_mille: list[int], salts: int = 8, small: int = 4096) -> DataFrame:
-    """The values at the given percentiles (in thousandths) of each key: ``(*keys, per_mille, value, n)``.
 
-    The percentile q of n values is the ceil(q*n)-th smallest (the first for q = 0); the rank error is 0. Ties are counted,
-    not broken. An empty summary gives no rows. A range left with ``small`` distinct values or fewer is ranked whole.
+def _count_and_propose(targets_of: dict[str, list[int]], low: np.ndarray, high: np.ndarray, pivot: np.ndarray):
+    """Kernel over pieces: per target the counts below, at and above its pivot and this task's proposals for both sides."""
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for t, (less, equal, more, ml, kl, mr, kr) in held.items():
+                rows.append((t, less, equal, more, *(_middle(ml, kl) if ml else (None, 0)), *(_middle(mr, kr) if mr else (None, 0))))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["t", "less", "equal", "more", "ml", "kl", "mr", "kr"])
+
+        for batch in it:
+            codes, counts = batch["codes"], batch["counts"]
+            at, flat, times = codes.offsets.to_numpy(), codes.values.to_numpy(), counts.values.to_numpy()
+            for i, ids in enumerate(batch["ids"].to_pylist()):
+                aimed = [t for g in ids for t in targets_of.get(g, ())]
+                if not aimed:
+                    continue
+                v = flat[at[i] : at[i + 1]]
+                upto = np.append(0, np.cumsum(times[at[i] : at[i + 1]]))
+                p = pivot[aimed]
+                a, b = np.searchsorted(v, low[aimed], side="right"), np.searchsorted(v, high[aimed], side="left")
+                c, d = np.maximum(a, np.searchsorted(v, p, side="left")), np.maximum(a, np.searchsorted(v, p, side="right"))
+                nums = zip(aimed, (upto[c] - upto[a]).tolist(), (upto[d] - upto[c]).tolist(), (upto[b] - upto[d]).tolist(), a.tolist(), b.tolist(), c.tolist(), d.tolist())
+                for t, less, equal, more, a1, b1, c1, d1 in nums:
+                    h = held.setdefault(t, [0, 0, 0, [], [], [], []])
+                    h[0] += less
+                    h[1] += equal
+                    h[2] += more
+                    if c1 > a1:
+                        h[3].append(int(v[(a1 + c1 - 1) // 2]))
+                        h[4].append(c1 - a1)
+                    if b1 > d1:
+                        h[5].append(int(v[(d1 + b1 - 1) // 2]))
+                        h[6].append(b1 - d1)
+                if len(held) >= HELD_RANGES:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return kernel
+
+
+def _pivot(m: str, k: str) -> str:
+    """SQL: the weighted median of the tasks' proposals, of which there is one a task."""
+    offers = f"array_sort(collect_list(if({k} > 0, struct({m} as m, {k} as k), null)))"
+    half = f"aggregate({offers}, 0L, (a, x) -> a + x.k)"
+    step = f"(a, x) -> struct(a.upto + x.k as upto, if(a.m is null and (a.upto + x.k) * 2 >= a.whole, x.m, a.m) as m, a.whole as whole)"
+    return f"aggregate({offers}, struct(0L as upto, cast(null as bigint) as m, {half} as whole), {step}).m"
+
+
+def _select_block(pieces: DataFrame, members: list[str], per_mille: list[int], rounds: list[int] | None) -> Iterator[tuple[str, int, int, int]]:
+    """(gid, per_mille, code, n) of the groups of one block; their open ranges are the driver's, the values stay where they are."""
+    q = np.tile(np.array(per_mille, np.int64), len(members))
+    gid = np.repeat(np.arange(len(members)), len(per_mille))
+    low, high, pivot, rank, n = (np.full(len(q), x, np.int64) for x in (_LOWEST, _HIGHEST, _LOWEST, 0, 0))
+    done, open_ranks = np.zeros(len(q), bool), np.arange(len(q))
+    for turn in range(MAX_ROUNDS):
+        if rounds is not None:
+            rounds.append(len(open_ranks))
+        targets: dict[str, list[int]] = {}
+        for t in open_ranks.tolist():
+            targets.setdefault(members[gid[t]], []).append(t)
+        told = pieces.mapInArrow(_count_and_propose(targets, low, high, pivot), "t bigint, less bigint, equal bigint, more bigint, ml bigint, kl bigint, mr bigint, kr bigint")
+        aggregates = ["sum(less) as less", "sum(equal) as equal", "sum(more) as more", f"{_pivot('ml', 'kl')} as pl", f"{_pivot('mr', 'kr')} as pr"]
+        got = told.groupBy("t").agg(*map(F.expr, aggregates)).toArrow()
+        t, less, equal, more = (got[c].to_numpy() for c in ("t", "less", "equal", "more"))
+        pl, pr = (got[c].fill_null(0).to_numpy() for c in ("pl", "pr"))
+        if turn == 0:  # the first pivot lies below all values: the round counts the groups and proposes the first true pivots
+            n[t] = more
+            rank[t] = np.maximum(1, -(-more * q[t] // 1000))
+        left = rank[t] <= less
+        hit = ~left & (rank[t] <= less + equal)
+        go = ~left & ~hit
+        done[t[hit]] = True
+        high[t[left]], pivot[t[left]] = pivot[t[left]], pl[left]
+        rank[t[go]] -= (less + equal)[go]
+        low[t[go]], pivot[t[go]] = pivot[t[go]], pr[go]
+        open_ranks = np.flatnonzero(~done)
+        if not len(open_ranks):
+            break
+    else:
+        raise RuntimeError(f"not selected within {MAX_ROUNDS} rounds")
+    for t in range(len(q)):
+        yield members[gid[t]], int(q[t]), int(pivot[t]), int(n[t])
+
+
+def multi_select(summary: DataFrame, groups: list[str], per_mille: list[int], scopes: dict[str, list[str]] | None = None, rounds: list[int] | None = None, block: int = BLOCK_GROUPS) -> DataFrame:
+    """The values at the given percentiles (in thousandths): ``(scope, *groups, field, per_mille, value, n)``.
+
+    ``scopes`` names the groupings to answer at once, each by some of ``groups`` (the others are null then); all of them by default, as
+    scope 'group'. The percentile q of n values is the ceil(q*n)-th smallest (the first for q = 0); ties are counted, not broken; the
+    rank error is 0. An empty summary gives no rows. Groups are worked in blocks of about ``block``, so that the driver holds a bounded
+    number of ranges; ``rounds``, if given, receives the number of open ranks before each round.
     """
-    ks = [f"_k{i}" for i in range(len(keys))]
-    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")
-    data = summary.select(*(F.col(c).alias(k) for c, k in zip(keys, ks)), F.col("value").alias("v"), "cnt").withColumn("gid", F.xxhash64(*ks)).withColumn("salt", salt)
-    data = data.repartition("gid", "salt").persist()
-    try:
-        sizes = cut(data.groupBy("gid", *ks).agg(F.sum("cnt").alias("n")))
-        if sizes.groupBy("gid").count().where("count > 1").limit(1).count():
-            raise ValueError("two groups have one hash")  # 64 bits: not met in practice, but never silently wrong
-        rank = lambda q: F.greatest(F.lit(1).cast("long"), F.expr(f"(n * {q} + 999) div 1000"))
-        ranks = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), rank(q).alias("r")) for q in per_mille)))
-        sought = sizes.select("gid", ranks.alias("x"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")).select("gid", "lo", "hi", "x.q", "x.r")
-        at, found = ["gid", "lo", "hi"], []
-        for turn in range(MAX_ROUNDS):
-            # Ranges are open at both ends but for the first, which holds all values, infinities too.
-            inside = F.lit(True) if turn == 0 else (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))
-            spread = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            active = lambda d: data.select("gid", "salt", "v", "cnt").join(spread(d), ["gid", "salt"]).where(inside)
-            local = active(sought.select(*at).distinct()).groupBy(*at, "salt").agg(F.percentile("v", 0.5).alias("m"), F.count("*").alias("k"))
-            by = Window.partitionBy(*at)
-            # A piece's proposal weighs as many different values as the piece holds, so that a range loses half of those, however they repeat.
-            upto = F.sum("k").over(by.orderBy("m", "salt").rowsBetween(Window.unboundedPreceding, 0))
-            local = local.select(*at, "m", F.sum("k").over(by).alias("k"), upto.alias("_u"))
-            pivots = cut(local.where("_u * 2 >= k").groupBy(*at).agg(F.min("m").alias("p"), F.max("k").alias("k")))
-            few = active(pivots.where(F.col("k") <= small).select(*at)).select(*at, "v", "cnt")
-            ranked = few.withColumn("_u", F.sum("cnt").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-            hits = ranked.join(sought, at).where((F.col("r") <= F.col("_u")) & (F.col("r") > F.col("_u") - F.col("cnt")))
-            found.append(cut(hits.select("gid", "q", F.col("v").alias("done"))))
-            many = pivots.where(F.col("k") > small).select(*at, "p")
-            if not many.limit(1).count():
-                break
-            total = lambda when: F.sum(F.when(when, F.col("cnt")).otherwise(0))
-            counted = active(many).groupBy(*at, "p").agg(total(F.col("v") < F.col("p")).alias("less"), total(F.col("v") == F.col("p")).alias("equal"))
-            left, hit = F.col("r") <= F.col("less"), F.col("r") <= F.col("less") + F.col("equal")
-            moved = cut(
-                sought.join(counted, at).select(
-                    "gid",
-                    F.when(left, F.col("lo")).otherwise(F.col("p")).alias("lo"),
-                    F.when(left, F.col("p")).otherwise(F.col("hi")).alias("hi"),
-                    "q",
-                    F.when(hit, F.col("r")).otherwise(F.col("r") - F.col("less") - F.col("equal")).alias("r"),
-                    F.when(hit & ~left, F.col("p")).alias("done"),
-                )
-            )
-            found.append(moved.where("done is not null").select("gid", "q", "done"))
-            sought = moved.where("done is null").drop("done")
-        else:
-            raise RuntimeError(f"not selected within {MAX_ROUNDS} rounds")
-    finally:
-        data.unpersist()
-    chosen = reduce(DataFrame.unionByName, found)
-    return sizes.join(chosen, "gid").select(*(F.col(k).alias(c) for c, k in zip(keys, ks)), F.col("q").alias("per_mille"), F.col("done").alias("value"), "n")
+    scopes = scopes or {"group": groups}
+    spark = summary.sparkSession
+    gid = lambda name, keys: F.to_json(F.struct(F.lit(name).alias("scope"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), "field"))
+    ids = F.array(*(gid(name, keys) for name, keys in scopes.items()))
+    pieces = cut(summary.select(ids.alias("ids"), *groups, "field", "codes", "counts"))
+    within = F.array(
+        *(
+            F.struct(F.col("ids")[i].alias("gid"), F.lit(name).alias("scope"), *(F.col(k) if k in keys else F.lit(None).cast(summary.schema[k].dataType).alias(k) for k in groups), "field")
+            for i, (name, keys) in enumerate(scopes.items())
+        )
+    )
+    members = cut(pieces.select(F.explode(within).alias("x")).select("x.*").distinct())
+    blocks = max(1, -(-members.count() // block))
+    packed = pieces.select("ids", "codes", "counts")
+    found = []
+    for b in range(blocks):
+        mine = packed if blocks == 1 else cut(packed.where(f"exists(ids, g -> pmod(xxhash64(g), {blocks}) = {b})"))
+        names = [r.gid for r in members.where(f"pmod(xxhash64(gid), {blocks}) = {b}").select("gid").collect()]
+        if names:
+            rows = list(_select_block(mine, names, per_mille, rounds))
+            columns = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array(_value_of(np.array([r[2] for r in rows], np.int64))), pa.array([r[3] for r in rows], pa.int64())]
+            found.append(spark.createDataFrame(pa.Table.from_arrays(columns, ["gid", "per_mille", "value", "n"])))
+    if not found:
+        return members.select("scope", *groups, "field", F.lit(0).alias("per_mille"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("n")).where("false")
+    return reduce(DataFrame.unionByName, found).join(members, "gid").select("scope", *groups, "field", "per_mille", "value", "n")

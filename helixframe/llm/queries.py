@@ -40,11 +40,7 @@ PER_MILLE = [10, 100, 500, 900, 990, 999]
 
 def _select(summary: DataFrame) -> DataFrame:
     """Percentiles per movie and, under a null movie_id with scope 'all', of all movies. rank_error is the stated bound."""
-    summary = cut(summary)  # read twice
-    scoped = summary.select(F.lit("movie").alias("scope"), "movie_id", "field", "value", "cnt").unionByName(
-        percentiles.merge(summary, []).select(F.lit("all").alias("scope"), F.lit(None).cast("int").alias("movie_id"), "field", "value", "cnt")
-    )
-    found = percentiles.multi_select(scoped, ["scope", "movie_id", "field"], PER_MILLE)
+    found = percentiles.multi_select(summary, ["movie_id"], PER_MILLE, {"movie": ["movie_id"], "all": []})
     return found.withColumn("rank_error", F.lit(0).cast("long"))
 
 
@@ -57,7 +53,7 @@ def p7_percentiles_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, combined from one summary per load_day."""
     rows = table(spark, sf_dir, "exp_group_metrics")
     days = percentiles.summarise(rows, ["movie_id"], METRICS, ["aln_id", "base_offset"], part=["load_day"])
-    return _select(percentiles.merge(days, ["movie_id"]))
+    return _select(percentiles.merge(days, groups=["movie_id"]))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
