@@ -1,20 +1,18 @@
 """Pages of repeated keywords, link lists and product tags, found by thresholds on stretches of text.
 
 A text is cut into stretches of about two dozen words along its lines. Of each stretch: the share of function words, of
-words in links, of the most frequent word, of word triples and of whole lines that the page repeats, the density of
-separators and the share of tokens with digits. A stretch without sentences (few function words) that is linked,
-repetitive or split by separators, and that isn't a listing of data, is junk; so is one made of words that mark junk. A page is reported if
-more than half of its words stand in junk stretches. Thresholds are calibrated per language, and the marking words are
-found, on a bounded sample of rated pages; the fixed defaults stand where there are too few.
+words in links, of the most frequent word, of the most frequent word pair, of word pairs and of whole lines that the page
+repeats, the density of separators and the share of tokens with digits. A stretch without sentences (few function words) that is
+repetitive or split by separators, and that isn't a listing of data, is junk, and so is one made of links. A page is reported if
+more than half of its words stand in junk stretches. All thresholds are calibrated per language on a bounded sample of rated
+pages; the fixed defaults stand where there are too few. No list of selling words is used.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +39,11 @@ _LINK = r"(?:https?://|www\.)\S+|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,9}/\S*"
 _TOKEN = re.compile(_LINK + r"|[^\W_]+|[|,;/·•*#+~<>=]+|::|(?<=\s)[-–—](?=\s)|\n")
 _WORD = re.compile(r"[^\W_]+")
 _SEQUENCE = re.compile(r"[ACGTNacgtn]{12,}$")
-#: Words that sell, in the four languages; words found on the rated pages are added.
-SELLING_WORDS = frozenset(
-    """
-    buy cheap cheapest coupon coupons discount discounts sale deal deals wholesale outlet shipping checkout bestseller price prices offer offers order review reviews sku
-    shop store cart delivery kaufen billig günstig angebot angebote rabatt gutschein bestellen lieferbar testsieger preis preise warenkorb versand
-    acheter soldes promo promotion livraison panier prix offerte cher boutique comprar rebajas oferta ofertas barato descuento envío precio gratis tienda
-    """.split()
-)
 STRETCH, LEAST = 24, 8
 #: A stretch of fewer words is too short to be called repetitive.
 JUDGED = 5
+#: Share of repeated word pairs from which a stretch counts as said over and over.
+REPETITIVE = 0.6
 #: At most so many rated pages, of at most so many letters each, are used to calibrate.
 MAX_RATED, MAX_RATED_CHARS = 2_000, 100_000
 BREAK, SEPARATOR = 0, 1
@@ -60,21 +52,34 @@ LANGUAGES = ("en", "de", "fr", "es")
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of a stretch. ``function``: most function words; the others: least share that makes junk."""
+    """Thresholds of a stretch. ``function`` and ``data``: what is less is no sentence, no data; the others: least share that makes junk."""
 
-    function: float = 0.16
+    function: float = 0.2
+    data: float = 0.46
     link: float = 0.4
-    top: float = 0.34
-    repeat: float = 0.5
-    separator: float = 0.45
-    data: float = 0.24
-    marked: float = 0.3
+    top: float = 0.25
+    gram: float = 0.3
+    repeat: float = 0.2
+    duplicate: float = 0.3
+    separator: float = 0.15
+
+
+#: Thresholds tried in the calibration, for each limit in this order; a default stays unless another one does better.
+TRIED = {
+    "function": (0.12, 0.16, 0.25),
+    "data": (0.3, 0.36, 0.42),
+    "link": (0.25, 0.55),
+    "separator": (0.1, 0.25, 0.35),
+    "repeat": (0.1, 0.3, 0.5),
+    "top": (0.18, 0.34),
+    "gram": (0.2, 0.4),
+    "duplicate": (0.15, 0.5),
+}
 
 
 @dataclass(frozen=True)
 class Model:
     by_language: dict[str, Limits] = field(default_factory=dict)
-    marking: frozenset[str] = frozenset()
     share: float = 0.5
 
     def limits(self, lang: str) -> Limits:
@@ -94,24 +99,24 @@ class Stretches:
     doc: np.ndarray
     words: np.ndarray
     function: np.ndarray
+    data: np.ndarray
     link: np.ndarray
     top: np.ndarray
+    gram: np.ndarray
     repeat: np.ndarray
+    duplicate: np.ndarray
     separator: np.ndarray
-    data: np.ndarray
-    marked: np.ndarray
 
 
 class Vocabulary:
     """Numbers of tokens and what is known of each, kept over the batches of a worker."""
 
-    def __init__(self, marking: frozenset[str]) -> None:
-        self.marking = marking
+    def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.number = {"\n": BREAK}
-        self.kind: list[tuple[int, int, int, int, int]] = [(0, 0, 0, 0, 0), (0, 0, 0, 0, 0)]  # words, function, link, data, marked
+        self.kind: list[tuple[int, int, int, int]] = [(0, 0, 0, 0), (0, 0, 0, 0)]  # words, function, link, data
 
     def add(self, token: str) -> int:
         c = token[0]
@@ -123,7 +128,7 @@ class Vocabulary:
         link = len(inner) > 1 or "/" in token or "." in token
         n = max(1, len(inner))
         digits = not link and (any(x.isdigit() for x in token) or bool(_SEQUENCE.match(token)))
-        kind = (n, int(low in FUNCTION_WORDS), n if link else 0, int(digits), n if link and any(x.lower() in self.marking for x in inner) else int(low in self.marking))
+        kind = (n, int(low in FUNCTION_WORDS), n if link else 0, int(digits))
         i = self.number.get(low)
         if i is None or self.kind[i] != kind:
             i = len(self.kind)
@@ -133,6 +138,27 @@ class Vocabulary:
         return i
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _said_again(token: np.ndarray, line: np.ndarray, doc: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+    """Whether each word stands in a line of two words or more that its text has at least twice; lines are equal by their words."""
+    at = np.flatnonzero(is_word)
+    again = np.zeros(len(token), bool)
+    if not len(at):
+        return again
+    head = np.flatnonzero(np.append(True, line[at][1:] != line[at][:-1]))
+    size = np.diff(np.append(head, len(at)))
+    place = np.arange(len(at)) - np.repeat(head, size)
+    code = np.add.reduceat(_mixed(token[at].astype(np.uint64) * np.uint64(1_000_003) + place.astype(np.uint64)), head)
+    code = _mixed(code ^ _mixed(doc[at][head].astype(np.uint64)))
+    _, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
+    again[at] = np.repeat((times[inverse] >= 2) & (size >= 2), size)
+    return again
+
+
 def stretches(texts: list[str], vocabulary: Vocabulary) -> Stretches:
     if len(vocabulary.number) > 2_000_000:
         vocabulary.clear()
@@ -168,12 +194,13 @@ def stretches(texts: list[str], vocabulary: Vocabulary) -> Stretches:
     # A break after a short line of words separates like a comma.
     ends_line = (token == BREAK) & (line_words[line] > 0) & ~long[line]
     kept = is_word | (token == SEPARATOR) | ends_line
-    key, doc, token, words, kind_of = key[kept], doc[kept], token[kept], words[kept], kind
+    again = _said_again(token, line, doc, is_word)
+    key, doc, token, words, again, kind_of = key[kept], doc[kept], token[kept], words[kept], again[kept], kind
     if not len(key):
         empty = np.empty(0)
-        return Stretches(empty.astype(np.int64), *[empty] * 8)
+        return Stretches(empty.astype(np.int64), *[empty] * 9)
     order = np.argsort(key, kind="stable")
-    key, doc, token, words = key[order], doc[order], token[order], words[order]
+    key, doc, token, words, again = key[order], doc[order], token[order], words[order], again[order]
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     of = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
     n = len(heads)
@@ -181,36 +208,49 @@ def stretches(texts: list[str], vocabulary: Vocabulary) -> Stretches:
     count = np.maximum(np.bincount(of, words > 0, n), 1)
     safe = np.maximum(total, 1)
     plain = np.flatnonzero((words > 0) & (kind_of[token, 2] == 0))
-    pair = of[plain] * np.int64(len(kind_of)) + token[plain]
-    uniq, times = np.unique(pair, return_counts=True)
-    top = np.zeros(n, np.int64)
-    np.maximum.at(top, uniq // len(kind_of), times)
-    # Word triples that the text has three times or more.
-    repeat = np.zeros(len(plain))
-    if len(plain) > 2:
-        t, d = token[plain], doc[plain]
-        code = (((d[:-2] * 1_000_003 + t[:-2]) * 1_000_003 + t[1:-1]) * 1_000_003 + t[2:]).astype(np.int64)
-        same = d[:-2] == d[2:]
+
+    def most(of_each: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """How often the most frequent code of each stretch stands there."""
+        found = np.zeros(n, np.int64)
+        if len(code):
+            numbers = np.unique(code, return_inverse=True)[1]
+            uniq, times = np.unique(of_each * np.int64(len(code) + 1) + numbers, return_counts=True)
+            np.maximum.at(found, uniq // (len(code) + 1), times)
+        return found
+
+    top = most(of[plain], token[plain])
+    # Word pairs, of words that aren't data: the most frequent one of the stretch, and those that the text has three times or more.
+    spoken = plain[kind_of[token[plain], 3] == 0]
+    gram, repeat = np.zeros(n, np.int64), np.zeros(len(spoken))
+    if len(spoken) > 1:
+        t, d, o = token[spoken], doc[spoken], of[spoken]
+        pair = t[:-1] * np.int64(len(kind_of)) + t[1:]
+        inside = o[:-1] == o[1:]
+        gram = most(o[:-1][inside], pair[inside])
+        code = _mixed(pair.astype(np.uint64)) ^ _mixed(d[:-1].astype(np.uint64) + np.uint64(1 << 40))
         _, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
-        hit = (times[inverse] >= 3) & same
-        repeat[:-2] = hit
-        repeat[1:-1] = np.maximum(repeat[1:-1], hit)
-        repeat[2:] = np.maximum(repeat[2:], hit)
+        hit = (times[inverse] >= 3) & (d[:-1] == d[1:])
+        repeat[:-1] = hit
+        repeat[1:] = np.maximum(repeat[1:], hit)
     share = lambda k: np.bincount(of, kind_of[token, k], n)
     return Stretches(
-        doc[heads], total, share(1) / safe, share(2) / safe, top / count, np.bincount(of[plain], repeat, n) / count, np.bincount(of, token <= SEPARATOR, n) / count, share(3) / count, share(4) / safe
-    )
+        doc[heads], total, share(1) / safe, share(3) / count, share(2) / safe, top / count, np.where(gram > 1, 2 * gram, 0) / count,
+        np.bincount(of[spoken], repeat, n) / count, np.bincount(of, words * again, n) / safe, np.bincount(of, token <= SEPARATOR, n) / count,
+    )
 
 
 def junk(s: Stretches, limits: list[Limits]) -> np.ndarray:
     """Whether each stretch is junk, by the limits of its text."""
-    at = lambda name: np.array([getattr(x, name) for x in limits])[s.doc]
     if not len(s.doc):
         return np.zeros(0, bool)
-    wordless = s.function < at("function")
-    listed = ((s.top >= at("top")) | (s.repeat >= at("repeat")) | (s.separator >= at("separator"))) & (s.words >= JUDGED)
-    linked = s.link >= at("link")
-    return linked | (s.marked >= at("marked")) & (s.function < 2 * at("function")) | wordless & listed & (s.data < at("data"))
+    at = lambda name: np.array([getattr(x, name) for x in limits])[s.doc]
+    listed = np.zeros(len(s.doc), bool)
+    for name in ("top", "gram", "repeat", "duplicate", "separator"):
+        listed |= getattr(s, name) >= at(name)
+    # Phrases said over and over may hold a few more function words ("near me", "for", "no").
+    few = s.function < at("function") * np.where(s.repeat >= REPETITIVE, 1.5, 1.0)
+    wordless = few & (s.data < at("data")) & (s.words >= JUDGED)
+    return (s.link >= at("link")) | wordless & listed
 
 
 def junk_share(texts: list[str], langs: list[str | None], model: Model, vocabulary: Vocabulary) -> np.ndarray:
@@ -221,41 +261,35 @@ def junk_share(texts: list[str], langs: list[str | None], model: Model, vocabula
     return np.bincount(s.doc, s.words * bad, len(texts)) / np.maximum(words, 1)
 
 
-def marking_words(texts: list[str], spam: list[bool], least: int = 3, odds: float = 12.0) -> frozenset[str]:
-    """Words on ``least`` or more of the spam pages that are ``odds`` times as common there as on the other pages."""
-    seen = (Counter(), Counter())
-    for text, bad in zip(texts, spam):
-        seen[bad].update({x.lower() for x in _WORD.findall(text)})
-    n = max(1, len(spam) - sum(spam)), max(1, sum(spam))
-    found = (w for w, c in seen[1].items() if c >= least and c / n[1] >= odds * (seen[0][w] + 0.5) / n[0])
-    return frozenset(w for w in found if w not in FUNCTION_WORDS and not w.isdigit())
-
+def fit(texts: list[str], langs: list[str | None], spam: list[bool], least_rated: int = 30, share: float = 0.5) -> Model:
+    """Thresholds from rated pages, limit by limit; a language with fewer than ``least_rated`` takes those of all pages.
 
-def fit(texts: list[str], langs: list[str | None], spam: list[bool], least_rated: int = 30) -> Model:
-    """Marking words and thresholds from rated pages; a language with fewer than ``least_rated`` takes those of all pages."""
-    marking = SELLING_WORDS
-    if any(spam) and not all(spam):
-        marking = marking | marking_words(texts, spam)
-    model = Model(marking=marking)
-    s = stretches(texts, Vocabulary(marking))
+    A limit is moved only where that leaves at least one page in a hundred, and one page, less wrongly judged: as a few ratings are
+    wrong, smaller gains are chance.
+    """
+    s = stretches(texts, Vocabulary())
     of = np.array([language(x) for x in langs], object)
     truth = np.array(spam, bool)
     words = np.maximum(np.bincount(s.doc, s.words, len(texts)), 1)
-    base = Limits()
-    tried = [
-        replace(base, function=f, marked=m, separator=p, data=d)
-        for f, m, p, d in product((base.function, 0.12, 0.2), (base.marked, 0.2, 0.4), (base.separator, 0.35), (base.data, 0.2))
-    ]
-    wrong = []
-    for limits in tried:
+
+    def wrong(limits: Limits, here: np.ndarray) -> int:
         bad = junk(s, [limits] * len(texts))
-        wrong.append((np.bincount(s.doc, s.words * bad, len(texts)) / words > model.share) != truth)
-    chosen = {}
+        return int((((np.bincount(s.doc, s.words * bad, len(texts)) / words > share) != truth) & here).sum())
+
+    chosen: dict[str, Limits] = {}
     for lang in ("", *LANGUAGES):
         here = np.ones(len(texts), bool) if not lang else of == lang
-        if here.sum() >= least_rated:
-            chosen[lang] = tried[int(np.argmin([w[here].sum() for w in wrong]))]  # the first of equals, so the defaults if they do as well
-    return replace(model, by_language=chosen)
+        if here.sum() < least_rated:
+            continue
+        limits = chosen.get("", Limits())
+        least, gain = wrong(limits, here), max(1, here.sum() / 100)
+        for name, values in TRIED.items():
+            tried = [(wrong(replace(limits, **{name: v}), here), i, v) for i, v in enumerate(values)]
+            errors, _, value = min(tried)
+            if errors <= least - gain:
+                least, limits = errors, replace(limits, **{name: value})
+        chosen[lang] = limits
+    return Model(by_language=chosen, share=share)
 
 
 def calibrate(docs: DataFrame, doc_id: str, text: str, lang: str, ratings: DataFrame, label: str, spam_label: str) -> Model:
@@ -271,7 +305,7 @@ def junk_shares(docs: DataFrame, doc_id: str, text: str, lang: str, model: Model
     """``(doc_id, junk_share)`` of every document with an id; a null, blank or wordless text has share 0. Whole texts are read."""
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model.marking)
+        vocabulary = Vocabulary()
         for batch in it:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             langs = batch.column(2).to_pylist()
