@@ -13,6 +13,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, sf_dir, "bas_reads"), "read_id", "basecall", least=60)
 
 
+def p3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal repeats of 60 letters or more between reads."""
+    found = shared_spans.maximal_repeats(table(spark, sf_dir, "bas_reads"), "read_id", "basecall", least=60)
+    return found.select(F.md5("repeat").alias("repeat"), "length", "n_records", "n_places")
+
+
 def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each read is shared with other reads."""
     reads = table(spark, sf_dir, "bas_reads").where("read_id is not null").groupBy("read_id").agg(F.max(F.length("basecall")).alias("n_bases"))
@@ -88,7 +94,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.junk_shares(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _page_model(spark, sf_dir))
 
 
-QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
+QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p3_repeats": p3_repeats, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
 
 _P3 = """
 d AS (SELECT DISTINCT read_id, basecall FROM bas_reads WHERE length(basecall) >= 60),
@@ -132,6 +138,15 @@ SQL = {
 t AS (SELECT read_id, sum(span_end - span_start) AS n, count(*) AS k FROM f GROUP BY read_id)
 SELECT r.read_id, CAST(coalesce(r.n, 0) AS INTEGER) AS n_bases, CAST(coalesce(t.n, 0) AS BIGINT) AS n_shared, coalesce(t.k, 0) AS n_spans,
        CASE WHEN r.n > 0 THEN round(coalesce(t.n, 0) / r.n, 6) END AS share FROM r LEFT JOIN t ON r.read_id = t.read_id""",
+    "p3_repeats": """WITH d AS (SELECT DISTINCT read_id, basecall FROM bas_reads WHERE length(basecall) >= 60 AND read_id IS NOT NULL),
+k AS (SELECT read_id, p, substring(basecall, CAST(p AS BIGINT) + 1, 60) AS w FROM (SELECT read_id, basecall, unnest(range(length(basecall) - 59)) AS p FROM d)),
+c AS (SELECT * FROM k WHERE regexp_full_match(w, '[ACGT]+')),
+h AS (SELECT a.read_id, b.read_id AS other, a.p, b.p - a.p AS diagonal FROM c a JOIN c b ON a.w = b.w WHERE a.read_id < b.read_id OR (a.read_id = b.read_id AND a.p < b.p)),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY read_id, other, diagonal ORDER BY p) AS run FROM h),
+m AS (SELECT read_id, min(p) AS p, max(p) - min(p) + 60 AS n FROM r GROUP BY read_id, other, diagonal, run),
+t AS (SELECT DISTINCT substring(basecall, CAST(p AS BIGINT) + 1, CAST(n AS BIGINT)) AS t FROM m JOIN d USING (read_id))
+SELECT md5(t) AS repeat, CAST(length(t) AS INTEGER) AS length, count(DISTINCT c.read_id) AS n_records, count(*) AS n_places
+FROM t JOIN c ON substring(t, 1, 60) = c.w JOIN d ON c.read_id = d.read_id AND substring(d.basecall, CAST(c.p AS BIGINT) + 1, length(t)) = t GROUP BY t HAVING count(DISTINCT c.read_id) > 1""",
     "p4_found": f"WITH {_P4} SELECT read_id, first_base, last_base FROM e",
     "p4_events": f"WITH {_P4} SELECT * FROM e",
     "p5_found": """SELECT movie_id, hole_number, aln_id FROM (
