@@ -1,31 +1,37 @@
 """Evaluation texts that leak into training text, by a distributed positional inverted index.
 
-The index is partitioned by document: a segment is one row with the terms of some documents, each term's sorted positions,
-and the documents' places. Segments are built where the documents are read, can be stored, and more can be added at any
-time. A search takes every phrase of an item apart at its rarest term in the segment: that term's postings, shifted by its
-place in the item, are the candidates; they are intersected with the shifted postings of the terms beside it, rarest
-first, and what is left is followed along the item to its full length. Everything happens within the segment; only matches move.
+The index is a table of postings, one row per term and segment (some millions of letters of documents that lie together), with the
+term's positions in the segment, and a table of the segments' documents. It is written once to shared storage, spread by term, and
+every search reads only from it: no search touches a text again, and any number of items comes as a table.
+
+A phrase search takes every window of ``n`` words of an item at its rarest term, counted over all documents. That term's postings,
+each shifted by the term's place in the item, are the candidates. They are intersected with the shifted postings of the terms
+beside it, and what is left with those of all other terms of the windows; every step joins the wanted positions of a (term, segment)
+with its one list of postings. Runs of matches on one diagonal are exact phrase matches. A proximity search starts from the rarest
+of an item's rarest terms and keeps the positions that have all the others nearby in the same document.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.session import cut
+
 #: Characters that count as absent: soft hyphen, zero-width space, non-joiner and joiner, byte order mark (fixed values).
 INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0xFEFF])
 _WORD = re.compile(r"[^\W_]+")
 #: Letters of text in a segment, about; a longer document is a segment of its own.
 SEGMENT_CHARS = 8_000_000
-#: Items searched at a time, so that a searcher holds a bounded part of a larger item table.
-ITEM_BLOCK = 20_000
-INDEX_SCHEMA = "doc_ids array<bigint>, doc_ends array<int>, terms array<string>, term_ends array<int>, positions binary"
+#: A term's segments are spread over the index's partitions in runs of so many, so that a frequent term is no hot partition.
+SEGMENTS_TOGETHER = 16
 _SEEN_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\ufeff]")
 
 
@@ -36,206 +42,298 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def _segment(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-    """One row. Between two documents one position stays free, so no phrase runs across."""
-    number: dict[str, int] = {}
+def pack_postings(place: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Rising positions of terms, one after the other, as steps of 1, 2 or 4 bytes, whichever the term's longest step needs."""
+    head = np.cumsum(counts) - counts
+    step = np.diff(place, prepend=0)
+    step[head] = place[head]
+    longest = np.maximum.reduceat(step, head)
+    width = np.where(longest < 1 << 8, 1, np.where(longest < 1 << 16, 2, 4))
+    ends = np.cumsum(counts * width + 1)
+    data = np.zeros(int(ends[-1]), np.uint8)
+    data[ends - counts * width - 1] = width
+    each = np.repeat(width, counts)
+    at = np.repeat(ends - counts * width, counts) + (np.arange(len(place)) - np.repeat(head, counts)) * each
+    for b in range(4):
+        here = each > b
+        data[at[here] + b] = (step[here] >> (8 * b)) & 0xFF
+    raw = data.tobytes()
+    return [raw[a:e] for a, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def unpack_postings(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1), dtype=np.int64)
+
+
+def _segment(number: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    """Postings of one segment, and a row without a term for its documents. Between two documents one position stays free."""
+    terms: dict[str, int] = {}
     counts, flat = [], []
     for t in texts:
         found = words(t)
         counts.append(len(found))
-        flat += [number.setdefault(w, len(number)) for w in found]
-    token = np.array(flat, np.int32)
+        flat += [terms.setdefault(w, len(terms)) for w in found]
+    token = np.array(flat, np.int64)
     ends = np.cumsum(np.array(counts, np.int64) + 1)
     place = np.arange(len(token)) + np.repeat(np.arange(len(counts)), counts)
-    order = np.argsort(token, kind="stable")
-    term_ends = np.cumsum(np.bincount(token, minlength=len(number)))
-    arrays = [pa.array([ids], pa.list_(pa.int64())), pa.array([ends.astype(np.int32)], pa.list_(pa.int32())), pa.array([list(number)], pa.list_(pa.string())), pa.array([term_ends.astype(np.int32)], pa.list_(pa.int32())), pa.array([place[order].astype("<i4").tobytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_ids", "doc_ends", "terms", "term_ends", "positions"])
+    times = np.bincount(token, minlength=len(terms))
+    packed = pack_postings(place[np.argsort(token, kind="stable")], times) if len(terms) else []
+    n = len(terms)
+    columns = [[*terms, None], [number] * (n + 1), [*times.tolist(), 0], [*packed, None], [None] * n + [ids], [None] * n + [ends.tolist()]]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "segment", "n", "positions", "doc_ids", "doc_ends"])
 
 
 def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index segments of (doc_id, text) batches, one at a time."""
+    """Index rows of (doc_id, text) batches, one segment at a time."""
+    number = TaskContext.get().partitionId() << 32
     ids: list[int] = []
     texts: list[str] = []
     size = 0
     for batch in it:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if ids and size + len(t) > SEGMENT_CHARS:
-                yield _segment(ids, texts)
-                ids, texts, size = [], [], 0
+                yield _segment(number, ids, texts)
+                number, ids, texts, size = number + 1, [], [], 0
             ids.append(i)
             texts.append(t)
             size += len(t)
     if ids:
-        yield _segment(ids, texts)
-
-
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
-
-
-def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Index segments of all documents with an id and a text that isn't null; whole texts, every term and position. To be stored and
-    searched again; ``DocumentIndex`` searches segments as they are built."""
-    return _texts(docs, doc_id, text).mapInArrow(_segments, INDEX_SCHEMA)
-
-
-class DocumentIndex:
-    """Documents to search without a stored index: each segment is built, searched and dropped where its documents are read."""
-
-    def __init__(self, docs: DataFrame, doc_id: str, text: str) -> None:
-        self.rows = _texts(docs, doc_id, text)
-
-
-class Segment:
-    """A segment in memory: postings by term and, made from them, the term at every position."""
-
-    def __init__(self, row: dict) -> None:
-        self.doc_ids, self.doc_ends = np.asarray(row["doc_ids"]), np.asarray(row["doc_ends"])
-        self.positions = np.frombuffer(row["positions"], "<i4")
-        self.ends = np.asarray(row["term_ends"])
-        self.number = {t: i for i, t in enumerate(row["terms"])}
-        self.token = np.full(int(self.doc_ends[-1]) if len(self.doc_ends) else 0, -1, np.int32)
-        self.token[self.positions] = np.repeat(np.arange(len(self.ends), dtype=np.int32), np.diff(self.ends, prepend=0))
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.ends[term - 1] if term else 0 : self.ends[term]]
-
-    def count(self, term: int) -> int:
-        return int(self.ends[term] - (self.ends[term - 1] if term else 0))
-
-    def docs_at(self, positions: np.ndarray) -> np.ndarray:
-        return self.doc_ids[np.searchsorted(self.doc_ends, positions, side="right")]
-
-    def _matches(self, positions: np.ndarray, term: int) -> np.ndarray:
-        ok = (positions >= 0) & (positions < len(self.token))
-        ok[ok] = self.token[positions[ok]] == term
-        return ok
-
-    def phrases(self, item: list[str], n: int) -> np.ndarray:
-        """Start positions' diagonals (position less place in the item) of all documents' runs of ``n`` or more item words."""
-        terms = np.array([self.number.get(w, -1) for w in item], np.int64)
-        if len(terms) < n:
-            return np.empty(0, np.int64)
-        rarity = np.array([self.count(t) if t >= 0 else -1 for t in terms], np.int64)
-        hits = []
-        windows = np.lib.stride_tricks.sliding_window_view(rarity, n)
-        usable = (windows >= 0).all(axis=1)
-        anchors = np.arange(len(windows)) + windows.argmin(axis=1)
-        for anchor in np.unique(anchors[usable]):
-            starts = np.flatnonzero(usable & (anchors == anchor))
-            lo, hi = int(starts[0]), int(starts[-1]) + n  # the stretch of the item that phrases with this anchor may use
-            diagonal = self.postings(int(terms[anchor])).astype(np.int64) - anchor
-            # Each phrase holds the word before or the word after the anchor: both lists, shifted, cut the candidates first.
-            near = np.zeros(len(diagonal), bool)
-            for o in (anchor - 1, anchor + 1):
-                if lo <= o < hi:
-                    near |= self._matches(diagonal + o, int(terms[o]))
-            diagonal = diagonal[near]
-            length, alive = np.ones(len(diagonal), np.int64), np.ones(len(diagonal), bool)
-            for step in (-1, 1):
-                alive[:] = True
-                for o in range(anchor + step, lo - 1 if step < 0 else hi, step):
-                    if not alive.any():
-                        break
-                    alive[alive] = self._matches(diagonal[alive] + o, int(terms[o]))
-                    length += alive
-            hits.append(diagonal[length >= n] + anchor)
-        return np.unique(np.concatenate(hits)) if hits else np.empty(0, np.int64)
-
-    def near(self, rarest: list[str], within: int) -> np.ndarray:
-        """Positions of the first word where all others stand within ``within`` words, in the same document."""
-        known = [self.number.get(w, -1) for w in rarest]
-        if not known or min(known) < 0:
-            return np.empty(0, np.int64)
-        at = self.postings(known[0]).astype(np.int64)
-        doc = np.searchsorted(self.doc_ends, at, side="right")
-        for t in known[1:]:
-            p = self.postings(t)
-            i = np.searchsorted(p, at)
-            right, left = p[np.minimum(i, len(p) - 1)], p[np.maximum(i - 1, 0)]
-            ok = np.zeros(len(at), bool)
-            for q in (left, right):
-                ok |= (np.abs(q - at) < within) & (np.searchsorted(self.doc_ends, q, side="right") == doc)
-            at, doc = at[ok], doc[ok]
-        return at
-
-
-def word_counts(index: DataFrame | DocumentIndex, wanted: set[str]) -> dict[str, int]:
-    """How often each of the ``wanted`` words stands in all rows of the documents; no entry for a word that stands in none."""
-    built = isinstance(index, DocumentIndex)
+        yield _segment(number, ids, texts)
+
+
+INDEX_SCHEMA = "term string, segment bigint, n int, positions binary, doc_ids array<bigint>, doc_ends array<bigint>"
+
+
+@dataclass
+class Index:
+    """A stored index, to be searched any number of times."""
+
+    rows: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.where("term is not null").select("term", "segment", "n", "positions")
+
+    @property
+    def segments(self) -> DataFrame:
+        return self.rows.where("term is null").select("segment", "doc_ids", "doc_ends")
+
+
+def index_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Postings and segments of all documents with an id and a text that isn't null; whole texts, every term and position."""
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
+    found = rows.mapInArrow(_segments, INDEX_SCHEMA)
+    return found.repartition("term", F.expr(f"segment div {SEGMENTS_TOGETHER}")).sortWithinPartitions("term", "segment")
+
+
+def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
+    """An index of the documents in the session's shared folder."""
+    return Index(cut(index_rows(docs, doc_id, text)))
+
+
+def write_index(docs: DataFrame, doc_id: str, text: str, path: str) -> None:
+    """The index as a Parquet table; as its files are sorted by term, a search reads only the row groups of its terms."""
+    index_rows(docs, doc_id, text).write.parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(path))
+
+
+def _item_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["item_id", "words"])
+
+
+def _counted(index: Index, items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, words, at, word, n): the words of each different item with their places and their counts over all documents, 0 for none."""
+    rows = items.select(items[item_id].cast("long").alias("item_id"), items[text].alias("text")).where("item_id is not null and text is not null")
+    split = cut(rows.mapInArrow(_item_words, "item_id bigint, words array<string>").distinct())
+    placed = split.select("item_id", "words", F.posexplode("words").alias("at", "word"))
+    wanted = placed.select(F.col("word").alias("term")).distinct()
+    counts = index.postings.select("term", "n").join(wanted, "term").groupBy(F.col("term").alias("word")).agg(F.sum(F.col("n").cast("long")).alias("n"))
+    return placed.join(counts, "word", "left").fillna(0, ["n"])
+
+
+def _wanted(index: Index, wants: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` over (segment, term, positions, wants): the wants of a term in a segment beside its one list of postings."""
+    grouped = wants.groupBy("segment", "term").agg(F.collect_list("want").alias("wants"))
+    return index.postings.select("term", "segment", "positions").join(grouped, ["term", "segment"]).mapInArrow(kernel, schema)
+
+
+def _anchors(n: int):
+    """Kernel: of each item with its counts, the rarest places of its windows, each with the stretch of the item its windows cover."""
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
         for batch in it:
-            if built:
-                for t in batch.column(1).to_pylist():
-                    seen.update(filter(wanted.__contains__, words(t)))
-            else:
-                for row in batch.select(["terms", "term_ends"]).to_pylist():
-                    for w, n in zip(row["terms"], np.diff(row["term_ends"], prepend=0).tolist()):
-                        if w in wanted:
-                            seen[w] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    rows = (index.rows if built else index).mapInArrow(kernel, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in rows.collect()}
-
-
-def _search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, find, prepare=None) -> DataFrame:
-    """(doc_id, item_id) pairs found by ``find(segment, words)``; items go to the segments in blocks of bounded size, as
-    ``prepare(block)`` makes them, if given."""
-    rows = items.select(items[item_id].cast("long").alias("item_id"), items[text].alias("text")).where("item_id is not null and text is not null")
-    pairs = None
-    held: list[tuple[int, list[str]]] = []
-    built = isinstance(index, DocumentIndex)
-    source = index.rows if built else index
-
-    def one_block(block: list[tuple[int, list[str]]]) -> DataFrame:
-        if prepare:
-            block = prepare(block)
-
-        def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _segments(it) if built else it:
-                for n in range(batch.num_rows):
-                    segment, docs, found = Segment(batch.slice(n, 1).to_pylist()[0]), [], []
-                    for i, ws in block:
-                        d = np.unique(segment.docs_at(find(segment, ws)))
-                        docs.append(d)
-                        found.append(np.full(len(d), i))
-                    if docs:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(found), pa.int64())], ["doc_id", "item_id"])
-
-        return source.mapInArrow(kernel, "doc_id bigint, item_id bigint")
-
-    for r in rows.toLocalIterator():
-        held.append((r.item_id, words(r.text)))
-        if len(held) >= ITEM_BLOCK:
-            pairs, held = one_block(held) if pairs is None else pairs.unionByName(one_block(held)), []
-    if held or pairs is None:
-        pairs = one_block(held) if pairs is None else pairs.unionByName(one_block(held))
-    return pairs.distinct()
-
-
-def phrase_search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, n: int = 10) -> DataFrame:
-    """``(doc_id, item_id)``: ``n`` consecutive words of the item stand consecutively and in order in the document.
-
-    Each pair once. Items of fewer than ``n`` words, null or empty texts and null ids match nothing; repeats change nothing.
-    """
-    return _search(index, items, item_id, text, lambda segment, ws: segment.phrases(ws, n))
+            out = []
+            for item, ws, pairs in zip(*(batch[c].to_pylist() for c in ("item_id", "words", "counts"))):
+                counts = np.zeros(len(ws), np.int64)
+                for p in pairs:
+                    counts[p["at"]] = p["n"]
+                if len(ws) < n:
+                    continue
+                windows = np.lib.stride_tricks.sliding_window_view(counts, n)
+                usable = (windows > 0).all(axis=1)
+                anchors = np.arange(len(windows)) + windows.argmin(axis=1)
+                for anchor in np.unique(anchors[usable]).tolist():
+                    starts = np.flatnonzero(usable & (anchors == anchor))
+                    lo, hi = int(starts[0]), int(starts[-1]) + n
+                    out.append((item, anchor, lo, ws[lo:hi], ws[anchor]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()))], ["item_id", "anchor", "lo", "stretch", "term"])
+
+    return kernel
+
+
+def _all_places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every position of the postings, for the row's other columns."""
+    for batch in it:
+        lists = [unpack_postings(x) for x in batch["positions"].to_pylist()]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        rows = pa.array(np.repeat(np.arange(len(lists)), sizes))
+        kept = [c for c in batch.schema.names if c != "positions"]
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in kept), pa.array(np.concatenate([np.empty(0, np.int64), *lists]))], [*kept, "pos"])
+
+
+def _present(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wants whose position is one of the term's."""
+    for batch in it:
+        wants = batch["wants"]
+        flat, sizes = wants.flatten(), wants.value_lengths().to_numpy(zero_copy_only=False)
+        at = flat.field("at").to_numpy(zero_copy_only=False)
+        ends, hit = np.cumsum(sizes), np.zeros(len(at), bool)
+        for data, a, e in zip(batch["positions"].to_pylist(), ends - sizes, ends):
+            p = unpack_postings(data)
+            i = np.minimum(np.searchsorted(p, at[a:e]), len(p) - 1)
+            hit[a:e] = p[i] == at[a:e]
+        rows = pa.array(np.flatnonzero(hit))
+        segment = batch["segment"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes))).take(rows)
+        yield pa.RecordBatch.from_arrays([segment, *(flat.field(c).take(rows) for c in ("item_id", "anchor", "lo", "pos", "o"))], ["segment", "item_id", "anchor", "lo", "pos", "o"])
 
 
-def proximity_search(index: DataFrame | DocumentIndex, items: DataFrame, item_id: str, text: str, terms: int = 6, within: int = 40) -> DataFrame:
-    """``(doc_id, item_id)``: the item's ``terms`` rarest words all stand near the rarest one in the document.
+_HIT = "segment bigint, item_id bigint, anchor int, lo int, pos bigint, o int"
+
+
+def _runs(n: int):
+    """Kernel: of each candidate the run of matching offsets around its anchor, if ``n`` or longer."""
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = []
+            for segment, item, anchor, pos, offsets in zip(*(batch[c].to_pylist() for c in ("segment", "item_id", "anchor", "pos", "offsets"))):
+                have, a, e = {*offsets, anchor}, anchor, anchor + 1
+                while a - 1 in have:
+                    a -= 1
+                while e in have:
+                    e += 1
+                if e - a >= n:
+                    out.append((segment, item, pos - anchor, a, e))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["segment", "item_id", "diagonal", "a", "e"])
+
+    return kernel
+
+
+def _locate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions of a segment with their documents and the documents' borders in the segment."""
+    names = ["item_id", "at", "x", "y"]
+    for batch in it:
+        found = batch["found"]
+        sizes = found.value_lengths().to_numpy(zero_copy_only=False)
+        flat, upto = found.flatten(), np.cumsum(sizes)
+        at = flat.field("at").to_numpy(zero_copy_only=False)
+        ids, begins, ends = [], [], []
+        for doc_ids, doc_ends, a, e in zip(batch["doc_ids"].to_pylist(), batch["doc_ends"].to_pylist(), upto - sizes, upto):
+            doc_ends = np.array(doc_ends, np.int64)
+            d = np.searchsorted(doc_ends, at[a:e], side="right")
+            ids.append(np.array(doc_ids, np.int64)[d])
+            begins.append(np.append(0, doc_ends)[d])
+            ends.append(doc_ends[d] - 1)
+        none = [np.empty(0, np.int64)]
+        more = [pa.array(np.concatenate(none + x)) for x in (ids, begins, ends)]
+        segment = batch["segment"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), *more, segment], [*names, "doc_id", "begin", "end", "segment"])
+
+
+def _located(index: Index, found: DataFrame) -> DataFrame:
+    """``found`` (segment, item_id, at, x, y) with ``doc_id`` and the document's ``begin`` and ``end`` in the segment."""
+    grouped = found.groupBy("segment").agg(F.collect_list(F.struct("item_id", "at", "x", "y")).alias("found"))
+    return index.segments.join(grouped, "segment").mapInArrow(_locate, "item_id bigint, at bigint, x bigint, y bigint, doc_id bigint, begin bigint, end bigint, segment bigint")
+
+
+def phrase_matches(index: Index, items: DataFrame, item_id: str, text: str, n: int = 10) -> DataFrame:
+    """Longest common stretches of ``n`` words or more: ``(doc_id, item_id, doc_word, item_word, n_words)``, both places from 0.
+
+    Items of fewer than ``n`` words, null or empty texts and null ids match nothing; repeated items change nothing; a repeated
+    document id gives the matches of all its texts.
+    """
+    counted = _counted(index, items, item_id, text)
+    per_item = counted.groupBy("item_id", "words").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
+    anchors = cut(per_item.mapInArrow(_anchors(n), "item_id bigint, anchor int, lo int, stretch array<string>, term string"))
+    keys = anchors.select("item_id", "anchor", "lo", "term").distinct()
+    first = index.postings.select("term", "segment", "positions").join(keys, "term").select("segment", "item_id", "anchor", "lo", "positions")
+    candidates = first.mapInArrow(_all_places, "segment bigint, item_id bigint, anchor int, lo int, pos bigint")
+    around = anchors.select("item_id", "anchor", "lo", F.posexplode("stretch").alias("k", "other")).withColumn("o", F.col("lo") + F.col("k")).where("o <> anchor")
+    want = F.struct("item_id", "anchor", "lo", "pos", "o", (F.col("pos") - F.col("anchor") + F.col("o")).alias("at")).alias("want")
+    # The terms beside the anchor first: every window has one of them, and few candidates are left for all the others.
+    beside = candidates.join(around.where("abs(o - anchor) = 1"), ["item_id", "anchor", "lo"]).select("segment", F.col("other").alias("term"), want)
+    left = cut(_wanted(index, beside, _present, _HIT).select("segment", "item_id", "anchor", "lo", "pos").distinct())
+    rest = left.join(around, ["item_id", "anchor", "lo"]).select("segment", F.col("other").alias("term"), want)
+    hits = _wanted(index, rest, _present, _HIT).groupBy("segment", "item_id", "anchor", "lo", "pos").agg(F.collect_set("o").alias("offsets"))
+    runs = hits.mapInArrow(_runs(n), "segment bigint, item_id bigint, diagonal bigint, a bigint, e bigint").distinct()
+    # The runs of overlapping windows on one diagonal are parts of one match.
+    w = Window.partitionBy("segment", "item_id", "diagonal").orderBy("a", "e")
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.when(reach >= F.col("a"), 0).otherwise(1)).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("segment", "item_id", "diagonal", "part").agg(F.min("a").alias("x"), F.max("e").alias("e"))
+    found = _located(index, whole.select("segment", "item_id", (F.col("diagonal") + F.col("x")).alias("at"), "x", (F.col("e") - F.col("x")).alias("y")))
+    return found.select("doc_id", "item_id", (F.col("at") - F.col("begin")).cast("int").alias("doc_word"), F.col("x").cast("int").alias("item_word"), F.col("y").cast("int").alias("n_words"))
+
+
+def phrase_search(index: Index, items: DataFrame, item_id: str, text: str, n: int = 10) -> DataFrame:
+    """``(doc_id, item_id)``, each pair once: ``n`` consecutive words of the item stand consecutively and in order in the document."""
+    return phrase_matches(index, items, item_id, text, n).select("doc_id", "item_id").distinct()
+
+
+def _nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each wanted position the term's nearest positions to either side; -1 where there is none."""
+    for batch in it:
+        wants = batch["wants"]
+        flat, sizes = wants.flatten(), wants.value_lengths().to_numpy(zero_copy_only=False)
+        at = flat.field("at").to_numpy(zero_copy_only=False)
+        ends, left, right = np.cumsum(sizes), np.full(len(at), -1), np.full(len(at), -1)
+        for data, a, e in zip(batch["positions"].to_pylist(), ends - sizes, ends):
+            p = unpack_postings(data)
+            i = np.searchsorted(p, at[a:e])
+            right[a:e] = np.where(i < len(p), p[np.minimum(i, len(p) - 1)], -1)
+            left[a:e] = np.where(i > 0, p[np.maximum(i - 1, 0)], -1)
+        segment = batch["segment"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        yield pa.RecordBatch.from_arrays([segment, flat.field("item_id"), flat.field("at"), flat.field("o"), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["segment", "item_id", "at", "o", "x", "y"])
+
+
+def proximity_search(index: Index, items: DataFrame, item_id: str, text: str, terms: int = 6, within: int = 40) -> DataFrame:
+    """``(doc_id, item_id)``: the item's ``terms`` rarest words all stand less than ``within`` words from the rarest one in the document.
 
     Rarity is how often a word stands in all documents (repeated rows as often as they are given), of equals the first by letters, so a
     pair doesn't depend on how the documents are split. Words that stand in no document are passed over; an item with fewer
     than ``terms`` other words matches nothing.
     """
-
-    def rarest(block: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
-        counts = word_counts(index, {w for _, ws in block for w in ws})
-        ranked = [(i, sorted({w for w in ws if w in counts}, key=lambda w: (counts[w], w))[:terms]) for i, ws in block]
-        return [(i, ws) for i, ws in ranked if len(ws) == terms]
-
-    return _search(index, items, item_id, text, lambda segment, ws: segment.near(ws, within), rarest)
+    counted = _counted(index, items, item_id, text).where("n > 0").select("item_id", F.xxhash64("item_id", "words").alias("item"), "word", "n").distinct()
+    by = Window.partitionBy("item")
+    ranked = counted.withColumn("o", F.row_number().over(by.orderBy("n", "word"))).where(F.col("o") <= terms)
+    ranked = cut(ranked.withColumn("k", F.count("*").over(by)).where(F.col("k") == terms).select("item_id", "item", F.col("word").alias("term"), "o"))
+    first = index.postings.select("term", "segment", "positions").join(ranked.where("o = 1").select("term", "item"), "term")
+    at = first.select("segment", F.col("item").alias("item_id"), "positions").mapInArrow(_all_places, "segment bigint, item_id bigint, pos bigint")
+    if terms == 1:
+        found = _located(index, at.select("segment", "item_id", F.col("pos").alias("at"), F.col("pos").alias("x"), F.col("pos").alias("y")))
+    else:
+        others = ranked.where("o > 1").select(F.col("item").alias("item_id"), "term", "o")
+        wants = at.join(others, "item_id").select("segment", "term", F.struct("item_id", "o", F.col("pos").alias("at")).alias("want"))
+        near = _wanted(index, wants, _nearest, "segment bigint, item_id bigint, at bigint, o int, x bigint, y bigint")
+        near = near.where((F.col("x") >= 0) & (F.col("at") - F.col("x") < within) | (F.col("y") >= 0) & (F.col("y") - F.col("at") < within))
+        sides = near.groupBy("segment", "item_id", "at").agg(F.collect_list(F.struct("x", "y")).alias("sides")).where(F.size("sides") == terms - 1)
+        located = _located(index, sides.select("segment", "item_id", "at", F.explode("sides").alias("s")).select("segment", "item_id", "at", "s.x", "s.y"))
+        inside = lambda q: F.col(q).between(F.col("begin"), F.col("end")) & (F.abs(F.col(q) - F.col("at")) < within)
+        found = located.where(inside("x") | inside("y")).groupBy("segment", "doc_id", "item_id", "at", "begin").agg(F.count("*").alias("k")).where(F.col("k") == terms - 1)
+    names = ranked.where("o = 1").select(F.col("item").alias("item_id"), F.col("item_id").alias("name"))
+    return found.select("doc_id", "item_id").distinct().join(names, "item_id").select("doc_id", F.col("name").alias("item_id")).distinct()

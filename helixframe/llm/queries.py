@@ -62,15 +62,22 @@ def p7_percentiles_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(percentiles.merge(days, groups=["movie_id"]))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> leakage.Index:
+    return leakage.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = leakage.DocumentIndex(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return leakage.phrase_search(index, table(spark, sf_dir, "eval_items"), "item_id", "item_text", n=10)
+    return leakage.phrase_search(_index(spark, sf_dir), table(spark, sf_dir, "eval_items"), "item_id", "item_text", n=10)
+
+
+def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the passages stand: the longest common stretches of ten words or more, by word places in document and item."""
+    return leakage.phrase_matches(_index(spark, sf_dir), table(spark, sf_dir, "eval_items"), "item_id", "item_text", n=10)
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which the eight rarest words of an item stand within 30 words of the rarest."""
-    index = leakage.DocumentIndex(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return leakage.proximity_search(index, table(spark, sf_dir, "eval_items"), "item_id", "item_text", terms=8, within=30)
+    return leakage.proximity_search(_index(spark, sf_dir), table(spark, sf_dir, "eval_items"), "item_id", "item_text", terms=8, within=30)
 
 
 CAPACITY = 2048
@@ -94,7 +101,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.junk_shares(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _page_model(spark, sf_dir))
 
 
-QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p3_repeats": p3_repeats, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
+QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p9_matches": p9_matches, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p3_repeats": p3_repeats, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
 
 _P3 = """
 d AS (SELECT DISTINCT read_id, basecall FROM bas_reads WHERE length(basecall) >= 60),
@@ -129,7 +136,26 @@ _P9 = r"""WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(
 g AS (SELECT DISTINCT kind, id, array_to_string(list_slice(ws, p, p + 9), ' ') AS s FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 8)) AS p FROM w))
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i'"""
 
+_WORDS = r"regexp_extract_all(lower(regexp_replace({}, '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g')), '[\p{{L}}\p{{N}}]+')"
+_P9_WORDS = f"""WITH dw AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS p, unnest(ws) AS word FROM (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents WHERE text IS NOT NULL)),
+iw AS (SELECT item_id, generate_subscripts(ws, 1) - 1 AS p, unnest(ws) AS word FROM (SELECT item_id, {_WORDS.format('item_text')} AS ws FROM eval_items WHERE item_text IS NOT NULL))"""
+_P9_MATCHES = rf"""{_P9_WORDS},
+l AS (SELECT 'd' AS kind, doc_id AS id, {_WORDS.format('text')} AS ws FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, {_WORDS.format('item_text')} FROM eval_items WHERE item_text IS NOT NULL),
+g AS (SELECT kind, id, p, array_to_string(list_slice(ws, p, p + 9), ' ') AS s FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 8)) AS p FROM l)),
+h AS (SELECT d.id AS doc_id, i.id AS item_id, d.p AS dp, i.p AS ip FROM g d JOIN g i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i'),
+r AS (SELECT *, ip - row_number() OVER (PARTITION BY doc_id, item_id, dp - ip ORDER BY ip) AS run FROM h)
+SELECT doc_id, item_id, CAST(min(dp) - 1 AS INTEGER) AS doc_word, CAST(min(ip) - 1 AS INTEGER) AS item_word, CAST(count(*) + 9 AS INTEGER) AS n_words FROM r GROUP BY doc_id, item_id, dp - ip, run"""
+_P9_NEAR = f"""{_P9_WORDS},
+c AS (SELECT word, count(*) AS n FROM dw GROUP BY word),
+k AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY n, word) AS o FROM (SELECT DISTINCT item_id, word FROM iw) JOIN c USING (word)),
+e AS (SELECT k.* FROM k WHERE o <= 8 AND item_id IN (SELECT item_id FROM k WHERE o = 8)),
+a AS (SELECT doc_id, item_id, p FROM dw JOIN e USING (word) WHERE o = 1)
+SELECT DISTINCT doc_id, item_id FROM (SELECT a.doc_id, a.item_id, a.p FROM a JOIN e ON a.item_id = e.item_id AND e.o > 1 JOIN dw ON dw.doc_id = a.doc_id AND dw.word = e.word AND abs(dw.p - a.p) < 30
+GROUP BY a.doc_id, a.item_id, a.p HAVING count(DISTINCT e.o) = 7)"""
+
 SQL = {
+    "p9_matches": _P9_MATCHES,
+    "p9_near": _P9_NEAR,
     "p9_found": _P9,
     "p7_percentiles": _P7,
     "p7_percentiles_from_days": _P7,
