@@ -10,6 +10,7 @@ Neighbour checks run in blocks of positions with a halo, one sweep over sorted r
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from statistics import NormalDist
@@ -95,18 +96,20 @@ def esd_kept(values: np.ndarray, counts: np.ndarray, alpha: float = 0.05, tail:
         return (at((total + 1) // 2) + at((total + 2) // 2)) / 2
 
     def nth_distance(middle: float, rank: int) -> float:
-        """The rank-th smallest distance from the middle: first the readings at or above it are searched, then those below."""
-        within = lambda d: int(upto[min(last, int(np.searchsorted(values, middle + d, side="right")))] - upto[max(first, int(np.searchsorted(values, middle - d, side="left")))])
-        split, best = int(np.searchsorted(values, middle, side="left")), math.inf
-        for lo, hi, sign in ((max(split, first), last, 1), (first, min(split, last), -1)):
-            a, b = 0, hi - lo  # the k-th nearest of this side
-            while a < b:
-                k = (a + b) // 2
-                d = sign * (values[lo + k if sign > 0 else hi - 1 - k] - middle)
-                if within(d) >= rank:
-                    best, b = min(best, d), k
-                else:
-                    a = k + 1
+        """The rank-th smallest distance from the middle: of either side, the nearest that has so many readings within it."""
+        split = min(max(int(np.searchsorted(values, middle, side="left")), first), last)
+        above, below = (lambda j: values[split + j] - middle), (lambda j: middle - values[split - 1 - j])
+
+        def within(d: float) -> int:
+            up = bisect_right(range(last - split), d, key=above)
+            down = bisect_right(range(split - first), d, key=below)
+            return int(upto[split + up] - upto[split - down])
+
+        best = math.inf
+        for side, size in ((above, last - split), (below, split - first)):
+            k = bisect_left(range(size), rank, key=lambda j: within(side(j)))  # noqa: B023
+            if k < size:
+                best = min(best, side(k))
         return best
 
     def spread(middle: float, total: int) -> float:
