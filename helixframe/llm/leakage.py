@@ -1,14 +1,15 @@
 """Evaluation texts that leak into training text, by a distributed positional inverted index.
 
-The index is a table of postings, one row per term and segment (some millions of letters of documents that lie together), with the
-term's positions in the segment, and a table of the segments' documents. It is written once to shared storage, spread by term, and
-every search reads only from it: no search touches a text again, and any number of items comes as a table.
+The index is stored, and no search touches a text again. A segment (some millions of letters of documents that lie together) has one
+row per bucket of terms, with the terms' counts and sorted positions, and one with its documents. Its rows lie together, so
+neither building nor searching moves a posting: a search takes from each segment the buckets it needs, and only matches move. Items
+come as a table, are spread by bucket, and are broadcast in blocks of bounded size, each of which is one pass over the index.
 
 A phrase search takes every window of ``n`` words of an item at its rarest term, counted over all documents. That term's postings,
-each shifted by the term's place in the item, are the candidates. They are intersected with the shifted postings of the terms
-beside it, and what is left with those of all other terms of the windows; every step joins the wanted positions of a (term, segment)
-with its one list of postings. Runs of matches on one diagonal are exact phrase matches. A proximity search starts from the rarest
-of an item's rarest terms and keeps the positions that have all the others nearby in the same document.
+each shifted by the term's place in the item, are the candidates; they are intersected with the shifted postings of the terms
+beside it, and what is left with those of the next ones, outwards. Runs of matches on one diagonal are exact phrase matches.
+A proximity search starts from the rarest of an item's rarest terms and keeps, term by term, the positions that have it nearby in
+the same document.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,10 @@ INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0xFEFF])
 _WORD = re.compile(r"[^\W_]+")
 #: Letters of text in a segment, about; a longer document is a segment of its own.
 SEGMENT_CHARS = 8_000_000
-#: A term's segments are spread over the index's partitions in runs of so many, so that a frequent term is no hot partition.
-SEGMENTS_TOGETHER = 16
+#: Term buckets of a segment. The row after the last one holds the segment's documents.
+BUCKETS = 64
+#: Item words searched in one pass over the index, about; they are broadcast to it.
+BLOCK_WORDS = 1_000_000
 _SEEN_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\ufeff]")
 
 
@@ -42,46 +47,51 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def pack_postings(place: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """Rising positions of terms, one after the other, as steps of 1, 2 or 4 bytes, whichever the term's longest step needs."""
+def pack_postings(place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Rising positions of terms, one after the other, as steps of 1, 2 or 4 bytes, whichever the term's longest step needs: widths, data."""
     head = np.cumsum(counts) - counts
     step = np.diff(place, prepend=0)
     step[head] = place[head]
     longest = np.maximum.reduceat(step, head)
     width = np.where(longest < 1 << 8, 1, np.where(longest < 1 << 16, 2, 4))
-    ends = np.cumsum(counts * width + 1)
+    ends = np.cumsum(counts * width)
     data = np.zeros(int(ends[-1]), np.uint8)
-    data[ends - counts * width - 1] = width
     each = np.repeat(width, counts)
     at = np.repeat(ends - counts * width, counts) + (np.arange(len(place)) - np.repeat(head, counts)) * each
     for b in range(4):
         here = each > b
         data[at[here] + b] = (step[here] >> (8 * b)) & 0xFF
-    raw = data.tobytes()
-    return [raw[a:e] for a, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-
-def unpack_postings(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1), dtype=np.int64)
+    return width.astype(np.uint8), data.tobytes()
 
 
 def _segment(number: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
-    """Postings of one segment, and a row without a term for its documents. Between two documents one position stays free."""
+    """The rows of one segment, by bucket. Between two documents one position stays free, so no phrase runs across."""
     terms: dict[str, int] = {}
-    counts, flat = [], []
+    sizes, flat = [], []
     for t in texts:
         found = words(t)
-        counts.append(len(found))
+        sizes.append(len(found))
         flat += [terms.setdefault(w, len(terms)) for w in found]
     token = np.array(flat, np.int64)
-    ends = np.cumsum(np.array(counts, np.int64) + 1)
-    place = np.arange(len(token)) + np.repeat(np.arange(len(counts)), counts)
-    times = np.bincount(token, minlength=len(terms))
-    packed = pack_postings(place[np.argsort(token, kind="stable")], times) if len(terms) else []
-    n = len(terms)
-    columns = [[*terms, None], [number] * (n + 1), [*times.tolist(), 0], [*packed, None], [None] * n + [ids], [None] * n + [ends.tolist()]]
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "segment", "n", "positions", "doc_ids", "doc_ends"])
+    ends = np.cumsum(np.array(sizes, np.int64) + 1)
+    place = np.arange(len(token)) + np.repeat(np.arange(len(sizes)), sizes)
+    names = list(terms)
+    bucket = np.array([crc32(w.encode()) % BUCKETS for w in names], np.int64)
+    order = np.argsort(bucket, kind="stable")  # terms by bucket
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    place = place[np.argsort(rank[token], kind="stable")] if len(names) else place
+    counts = np.bincount(rank[token], minlength=len(names)) if len(names) else np.empty(0, np.int64)
+    upto = np.append(0, np.cumsum(counts))
+    cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    rows = []
+    for b, (a, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if a < e:
+            width, data = pack_postings(place[upto[a] : upto[e]], counts[a:e])
+            rows.append((number, b, "\n".join(names[i] for i in order[a:e]), counts[a:e].astype("<u4").tobytes(), width.tobytes(), data, None, None))
+    rows.append((number, BUCKETS, None, None, None, None, ids, ends.tolist()))
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["segment", "bucket", "terms", "counts", "widths", "positions", "doc_ids", "doc_ends"])
 
 
 def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,30 +112,21 @@ def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _segment(number, ids, texts)
 
 
-INDEX_SCHEMA = "term string, segment bigint, n int, positions binary, doc_ids array<bigint>, doc_ends array<bigint>"
+INDEX_SCHEMA = "segment bigint, bucket int, terms string, counts binary, widths binary, positions binary, doc_ids array<bigint>, doc_ends array<bigint>"
+
+
+def index_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The index of all documents with an id and a text that isn't null; whole texts, every term and position."""
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
+    return rows.mapInArrow(_segments, INDEX_SCHEMA)
 
 
 @dataclass
 class Index:
-    """A stored index, to be searched any number of times."""
+    """A stored index, to be searched any number of times. A segment's rows follow each other in ``rows``, by bucket."""
 
     rows: DataFrame
 
-    @property
-    def postings(self) -> DataFrame:
-        return self.rows.where("term is not null").select("term", "segment", "n", "positions")
-
-    @property
-    def segments(self) -> DataFrame:
-        return self.rows.where("term is null").select("segment", "doc_ids", "doc_ends")
-
-
-def index_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Postings and segments of all documents with an id and a text that isn't null; whole texts, every term and position."""
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
-    found = rows.mapInArrow(_segments, INDEX_SCHEMA)
-    return found.repartition("term", F.expr(f"segment div {SEGMENTS_TOGETHER}")).sortWithinPartitions("term", "segment")
-
 
 def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     """An index of the documents in the session's shared folder."""
@@ -133,12 +134,13 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
 
 
 def write_index(docs: DataFrame, doc_id: str, text: str, path: str) -> None:
-    """The index as a Parquet table; as its files are sorted by term, a search reads only the row groups of its terms."""
+    """The index as a Parquet table."""
     index_rows(docs, doc_id, text).write.parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(path))
+    """A written index. Files may be split when they are read, so segments are put in order again."""
+    return Index(spark.read.parquet(path).repartition("segment").sortWithinPartitions("segment", "bucket"))
 
 
 def _item_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,20 +148,77 @@ def _item_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["item_id", "words"])
 
 
-def _counted(index: Index, items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item_id, words, at, word, n): the words of each different item with their places and their counts over all documents, 0 for none."""
+def _term_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each wanted term stands in the segments."""
+    for batch in it:
+        seen: dict[str, int] = {}
+        for terms, counts, wanted in zip(*(batch[c].to_pylist() for c in ("terms", "counts", "wanted"))):
+            of = dict(zip(terms.split("\n"), np.frombuffer(counts, "<u4").tolist()))
+            for w in wanted:
+                if w in of:
+                    seen[w] = seen.get(w, 0) + of[w]
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+
+_BUCKET = f"cast(pmod(crc32(encode(word, 'UTF-8')), {BUCKETS}) as int)"
+
+
+def _by_bucket(terms: DataFrame) -> DataFrame:
+    return terms.select("word").distinct().groupBy(F.expr(_BUCKET).alias("bucket")).agg(F.collect_list("word").alias("wanted"))
+
+
+def _blocks(items: DataFrame, item_id: str, text: str) -> list[DataFrame]:
+    """(item_id, words) of each different item, in blocks of about ``BLOCK_WORDS`` words."""
     rows = items.select(items[item_id].cast("long").alias("item_id"), items[text].alias("text")).where("item_id is not null and text is not null")
     split = cut(rows.mapInArrow(_item_words, "item_id bigint, words array<string>").distinct())
-    placed = split.select("item_id", "words", F.posexplode("words").alias("at", "word"))
-    wanted = placed.select(F.col("word").alias("term")).distinct()
-    counts = index.postings.select("term", "n").join(wanted, "term").groupBy(F.col("term").alias("word")).agg(F.sum(F.col("n").cast("long")).alias("n"))
+    total = split.agg(F.sum(F.size("words"))).first()[0] or 0
+    n = -(-total // BLOCK_WORDS) or 1
+    return [split if n == 1 else split.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def _counted(index: Index, block: DataFrame) -> DataFrame:
+    """(item_id, words, at, word, n): the words of each item with their places and their counts over all documents, 0 for none."""
+    placed = block.select("item_id", "words", F.posexplode("words").alias("at", "word"))
+    told = index.rows.select("bucket", "terms", "counts").join(F.broadcast(_by_bucket(placed)), "bucket").select("terms", "counts", "wanted")
+    counts = told.mapInArrow(_term_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return placed.join(counts, "word", "left").fillna(0, ["n"])
 
 
-def _wanted(index: Index, wants: DataFrame, kernel, schema: str) -> DataFrame:
-    """``kernel`` over (segment, term, positions, wants): the wants of a term in a segment beside its one list of postings."""
-    grouped = wants.groupBy("segment", "term").agg(F.collect_list("want").alias("wants"))
-    return index.postings.select("term", "segment", "positions").join(grouped, ["term", "segment"]).mapInArrow(kernel, schema)
+def _search(index: Index, wanted: DataFrame, work: DataFrame, find, schema: str) -> DataFrame:
+    """``find(postings, doc_ids, doc_ends, work)`` for every segment, with the postings of the wanted words and the rows of ``work``.
+
+    Both tables come from one block of items, so they are broadcast: the words to their buckets, the work to the row of the documents.
+    """
+    kind = work.schema.simpleString()
+    everything = work.agg(F.collect_list(F.struct(*work.columns)).alias("work")).select(F.lit(BUCKETS).alias("bucket"), F.lit(None).cast("array<string>").alias("wanted"), "work")
+    told = _by_bucket(wanted).select("bucket", "wanted", F.lit(None).cast(f"array<{kind}>").alias("work")).unionByName(everything)
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        segment = None
+        for batch in it:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
+                if row["segment"] != segment:
+                    segment, held = row["segment"], {}
+                if row["bucket"] < BUCKETS:
+                    counts, widths = np.frombuffer(row["counts"], "<u4").astype(np.int64), np.frombuffer(row["widths"], np.uint8)
+                    ends = np.cumsum(counts * widths)
+                    of = {w: i for i, w in enumerate(row["terms"].split("\n"))}
+                    for w in row["wanted"]:
+                        i = of.get(w)
+                        if i is not None:
+                            data = row["positions"][int(ends[i] - counts[i] * widths[i]) : int(ends[i])]
+                            held[w] = np.cumsum(np.frombuffer(data, f"<u{widths[i]}"), dtype=np.int64)
+                elif held:
+                    yield from find(held, np.array(row["doc_ids"], np.int64), np.array(row["doc_ends"], np.int64), row["work"])
+
+    return index.rows.join(F.broadcast(told), "bucket").mapInArrow(kernel, schema)
+
+
+def _present(postings: np.ndarray, at: np.ndarray) -> np.ndarray:
+    i = np.minimum(np.searchsorted(postings, at), len(postings) - 1)
+    return postings[i] == at
 
 
 def _anchors(n: int):
@@ -180,85 +239,52 @@ def _anchors(n: int):
                 for anchor in np.unique(anchors[usable]).tolist():
                     starts = np.flatnonzero(usable & (anchors == anchor))
                     lo, hi = int(starts[0]), int(starts[-1]) + n
-                    out.append((item, anchor, lo, ws[lo:hi], ws[anchor]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()))], ["item_id", "anchor", "lo", "stretch", "term"])
-
-    return kernel
-
-
-def _all_places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every position of the postings, for the row's other columns."""
-    for batch in it:
-        lists = [unpack_postings(x) for x in batch["positions"].to_pylist()]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        rows = pa.array(np.repeat(np.arange(len(lists)), sizes))
-        kept = [c for c in batch.schema.names if c != "positions"]
-        yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in kept), pa.array(np.concatenate([np.empty(0, np.int64), *lists]))], [*kept, "pos"])
-
-
-def _present(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wants whose position is one of the term's."""
-    for batch in it:
-        wants = batch["wants"]
-        flat, sizes = wants.flatten(), wants.value_lengths().to_numpy(zero_copy_only=False)
-        at = flat.field("at").to_numpy(zero_copy_only=False)
-        ends, hit = np.cumsum(sizes), np.zeros(len(at), bool)
-        for data, a, e in zip(batch["positions"].to_pylist(), ends - sizes, ends):
-            p = unpack_postings(data)
-            i = np.minimum(np.searchsorted(p, at[a:e]), len(p) - 1)
-            hit[a:e] = p[i] == at[a:e]
-        rows = pa.array(np.flatnonzero(hit))
-        segment = batch["segment"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes))).take(rows)
-        yield pa.RecordBatch.from_arrays([segment, *(flat.field(c).take(rows) for c in ("item_id", "anchor", "lo", "pos", "o"))], ["segment", "item_id", "anchor", "lo", "pos", "o"])
-
-
-_HIT = "segment bigint, item_id bigint, anchor int, lo int, pos bigint, o int"
-
-
-def _runs(n: int):
-    """Kernel: of each candidate the run of matching offsets around its anchor, if ``n`` or longer."""
-
-    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out = []
-            for segment, item, anchor, pos, offsets in zip(*(batch[c].to_pylist() for c in ("segment", "item_id", "anchor", "pos", "offsets"))):
-                have, a, e = {*offsets, anchor}, anchor, anchor + 1
-                while a - 1 in have:
-                    a -= 1
-                while e in have:
-                    e += 1
-                if e - a >= n:
-                    out.append((segment, item, pos - anchor, a, e))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["segment", "item_id", "diagonal", "a", "e"])
+                    out.append((item, anchor, lo, ws[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())))], ["item_id", "anchor", "lo", "stretch"])
 
     return kernel
 
 
-def _locate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions of a segment with their documents and the documents' borders in the segment."""
-    names = ["item_id", "at", "x", "y"]
-    for batch in it:
-        found = batch["found"]
-        sizes = found.value_lengths().to_numpy(zero_copy_only=False)
-        flat, upto = found.flatten(), np.cumsum(sizes)
-        at = flat.field("at").to_numpy(zero_copy_only=False)
-        ids, begins, ends = [], [], []
-        for doc_ids, doc_ends, a, e in zip(batch["doc_ids"].to_pylist(), batch["doc_ends"].to_pylist(), upto - sizes, upto):
-            doc_ends = np.array(doc_ends, np.int64)
-            d = np.searchsorted(doc_ends, at[a:e], side="right")
-            ids.append(np.array(doc_ids, np.int64)[d])
-            begins.append(np.append(0, doc_ends)[d])
-            ends.append(doc_ends[d] - 1)
-        none = [np.empty(0, np.int64)]
-        more = [pa.array(np.concatenate(none + x)) for x in (ids, begins, ends)]
-        segment = batch["segment"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-        yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), *more, segment], [*names, "doc_id", "begin", "end", "segment"])
-
-
-def _located(index: Index, found: DataFrame) -> DataFrame:
-    """``found`` (segment, item_id, at, x, y) with ``doc_id`` and the document's ``begin`` and ``end`` in the segment."""
-    grouped = found.groupBy("segment").agg(F.collect_list(F.struct("item_id", "at", "x", "y")).alias("found"))
-    return index.segments.join(grouped, "segment").mapInArrow(_locate, "item_id bigint, at bigint, x bigint, y bigint, doc_id bigint, begin bigint, end bigint, segment bigint")
+def _phrases(n: int):
+    def find(postings: dict[str, np.ndarray], doc_ids: np.ndarray, doc_ends: np.ndarray, work: list[dict]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for x in work:
+            lists = [postings.get(w) for w in x["stretch"]]
+            at = x["anchor"] - x["lo"]
+            if lists[at] is None:
+                continue
+            diagonal = lists[at] - at
+            # Every window has the term before or the term after its rarest: both shifted lists are intersected first.
+            near = np.zeros(len(diagonal), bool)
+            for o in (at - 1, at + 1):
+                if 0 <= o < len(lists) and lists[o] is not None:
+                    near |= _present(lists[o], diagonal + o)
+            diagonal = diagonal[near]
+            first, last = np.full(len(diagonal), at), np.full(len(diagonal), at + 1)
+            for step, edge in ((-1, first), (1, last)):
+                alive, o = np.arange(len(diagonal)), at + step
+                while len(alive) and 0 <= o < len(lists) and lists[o] is not None:
+                    alive = alive[_present(lists[o], diagonal[alive] + o)]
+                    edge[alive] += step
+                    o += step
+            ok = last - first >= n
+            if ok.any():
+                found.append((np.full(ok.sum(), x["item_id"]), diagonal[ok] - x["lo"], first[ok] + x["lo"], last[ok] + x["lo"]))
+        if not found:
+            return
+        item, diagonal, first, last = (np.concatenate(c) for c in zip(*found))
+        # Runs of overlapping windows on one diagonal are parts of one match.
+        order = np.lexsort((last, first, diagonal, item))
+        item, diagonal, first, last = item[order], diagonal[order], first[order], last[order]
+        fresh = np.append(True, (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (first[1:] > last[:-1]))
+        head = np.flatnonzero(fresh)
+        item, diagonal, first, last = item[head], diagonal[head], first[head], np.maximum.reduceat(last, head)
+        doc = np.searchsorted(doc_ends, diagonal + first, side="right")
+        place = diagonal + first - np.append(0, doc_ends)[doc]
+        columns = [doc_ids[doc], item, place.astype(np.int32), first.astype(np.int32), (last - first).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+
+    return find
 
 
 def phrase_matches(index: Index, items: DataFrame, item_id: str, text: str, n: int = 10) -> DataFrame:
@@ -267,27 +293,13 @@ def phrase_matches(index: Index, items: DataFrame, item_id: str, text: str, n: i
     Items of fewer than ``n`` words, null or empty texts and null ids match nothing; repeated items change nothing; a repeated
     document id gives the matches of all its texts.
     """
-    counted = _counted(index, items, item_id, text)
-    per_item = counted.groupBy("item_id", "words").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
-    anchors = cut(per_item.mapInArrow(_anchors(n), "item_id bigint, anchor int, lo int, stretch array<string>, term string"))
-    keys = anchors.select("item_id", "anchor", "lo", "term").distinct()
-    first = index.postings.select("term", "segment", "positions").join(keys, "term").select("segment", "item_id", "anchor", "lo", "positions")
-    candidates = first.mapInArrow(_all_places, "segment bigint, item_id bigint, anchor int, lo int, pos bigint")
-    around = anchors.select("item_id", "anchor", "lo", F.posexplode("stretch").alias("k", "other")).withColumn("o", F.col("lo") + F.col("k")).where("o <> anchor")
-    want = F.struct("item_id", "anchor", "lo", "pos", "o", (F.col("pos") - F.col("anchor") + F.col("o")).alias("at")).alias("want")
-    # The terms beside the anchor first: every window has one of them, and few candidates are left for all the others.
-    beside = candidates.join(around.where("abs(o - anchor) = 1"), ["item_id", "anchor", "lo"]).select("segment", F.col("other").alias("term"), want)
-    left = cut(_wanted(index, beside, _present, _HIT).select("segment", "item_id", "anchor", "lo", "pos").distinct())
-    rest = left.join(around, ["item_id", "anchor", "lo"]).select("segment", F.col("other").alias("term"), want)
-    hits = _wanted(index, rest, _present, _HIT).groupBy("segment", "item_id", "anchor", "lo", "pos").agg(F.collect_set("o").alias("offsets"))
-    runs = hits.mapInArrow(_runs(n), "segment bigint, item_id bigint, diagonal bigint, a bigint, e bigint").distinct()
-    # The runs of overlapping windows on one diagonal are parts of one match.
-    w = Window.partitionBy("segment", "item_id", "diagonal").orderBy("a", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("new", F.when(reach >= F.col("a"), 0).otherwise(1)).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = runs.groupBy("segment", "item_id", "diagonal", "part").agg(F.min("a").alias("x"), F.max("e").alias("e"))
-    found = _located(index, whole.select("segment", "item_id", (F.col("diagonal") + F.col("x")).alias("at"), "x", (F.col("e") - F.col("x")).alias("y")))
-    return found.select("doc_id", "item_id", (F.col("at") - F.col("begin")).cast("int").alias("doc_word"), F.col("x").cast("int").alias("item_word"), F.col("y").cast("int").alias("n_words"))
+    found = []
+    for block in _blocks(items, item_id, text):
+        per_item = _counted(index, block).groupBy("item_id", "words").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
+        anchors = cut(per_item.mapInArrow(_anchors(n), "item_id bigint, anchor int, lo int, stretch array<string>"))
+        wanted = anchors.select(F.explode("stretch").alias("word"))
+        found.append(_search(index, wanted, anchors, _phrases(n), "doc_id bigint, item_id bigint, doc_word int, item_word int, n_words int"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def phrase_search(index: Index, items: DataFrame, item_id: str, text: str, n: int = 10) -> DataFrame:
@@ -295,20 +307,28 @@ def phrase_search(index: Index, items: DataFrame, item_id: str, text: str, n: in
     return phrase_matches(index, items, item_id, text, n).select("doc_id", "item_id").distinct()
 
 
-def _nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each wanted position the term's nearest positions to either side; -1 where there is none."""
-    for batch in it:
-        wants = batch["wants"]
-        flat, sizes = wants.flatten(), wants.value_lengths().to_numpy(zero_copy_only=False)
-        at = flat.field("at").to_numpy(zero_copy_only=False)
-        ends, left, right = np.cumsum(sizes), np.full(len(at), -1), np.full(len(at), -1)
-        for data, a, e in zip(batch["positions"].to_pylist(), ends - sizes, ends):
-            p = unpack_postings(data)
-            i = np.searchsorted(p, at[a:e])
-            right[a:e] = np.where(i < len(p), p[np.minimum(i, len(p) - 1)], -1)
-            left[a:e] = np.where(i > 0, p[np.maximum(i - 1, 0)], -1)
-        segment = batch["segment"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-        yield pa.RecordBatch.from_arrays([segment, flat.field("item_id"), flat.field("at"), flat.field("o"), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["segment", "item_id", "at", "o", "x", "y"])
+def _close(within: int):
+    def find(postings: dict[str, np.ndarray], doc_ids: np.ndarray, doc_ends: np.ndarray, work: list[dict]) -> Iterator[pa.RecordBatch]:
+        docs, items = [], []
+        for x in work:
+            lists = [postings.get(w) for w in x["rarest"]]
+            if any(p is None for p in lists):
+                continue
+            at = lists[0]
+            doc = np.searchsorted(doc_ends, at, side="right")
+            for p in lists[1:]:
+                i = np.searchsorted(p, at)
+                ok = np.zeros(len(at), bool)
+                for q in (p[np.minimum(i, len(p) - 1)], p[np.maximum(i - 1, 0)]):
+                    ok |= (np.abs(q - at) < within) & (np.searchsorted(doc_ends, q, side="right") == doc)
+                at, doc = at[ok], doc[ok]
+            doc = np.unique(doc_ids[doc])
+            docs.append(doc)
+            items.append(np.full(len(doc), x["item_id"]))
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(items), pa.int64())], ["doc_id", "item_id"])
+
+    return find
 
 
 def proximity_search(index: Index, items: DataFrame, item_id: str, text: str, terms: int = 6, within: int = 40) -> DataFrame:
@@ -318,22 +338,11 @@ def proximity_search(index: Index, items: DataFrame, item_id: str, text: str, te
     pair doesn't depend on how the documents are split. Words that stand in no document are passed over; an item with fewer
     than ``terms`` other words matches nothing.
     """
-    counted = _counted(index, items, item_id, text).where("n > 0").select("item_id", F.xxhash64("item_id", "words").alias("item"), "word", "n").distinct()
-    by = Window.partitionBy("item")
-    ranked = counted.withColumn("o", F.row_number().over(by.orderBy("n", "word"))).where(F.col("o") <= terms)
-    ranked = cut(ranked.withColumn("k", F.count("*").over(by)).where(F.col("k") == terms).select("item_id", "item", F.col("word").alias("term"), "o"))
-    first = index.postings.select("term", "segment", "positions").join(ranked.where("o = 1").select("term", "item"), "term")
-    at = first.select("segment", F.col("item").alias("item_id"), "positions").mapInArrow(_all_places, "segment bigint, item_id bigint, pos bigint")
-    if terms == 1:
-        found = _located(index, at.select("segment", "item_id", F.col("pos").alias("at"), F.col("pos").alias("x"), F.col("pos").alias("y")))
-    else:
-        others = ranked.where("o > 1").select(F.col("item").alias("item_id"), "term", "o")
-        wants = at.join(others, "item_id").select("segment", "term", F.struct("item_id", "o", F.col("pos").alias("at")).alias("want"))
-        near = _wanted(index, wants, _nearest, "segment bigint, item_id bigint, at bigint, o int, x bigint, y bigint")
-        near = near.where((F.col("x") >= 0) & (F.col("at") - F.col("x") < within) | (F.col("y") >= 0) & (F.col("y") - F.col("at") < within))
-        sides = near.groupBy("segment", "item_id", "at").agg(F.collect_list(F.struct("x", "y")).alias("sides")).where(F.size("sides") == terms - 1)
-        located = _located(index, sides.select("segment", "item_id", "at", F.explode("sides").alias("s")).select("segment", "item_id", "at", "s.x", "s.y"))
-        inside = lambda q: F.col(q).between(F.col("begin"), F.col("end")) & (F.abs(F.col(q) - F.col("at")) < within)
-        found = located.where(inside("x") | inside("y")).groupBy("segment", "doc_id", "item_id", "at", "begin").agg(F.count("*").alias("k")).where(F.col("k") == terms - 1)
-    names = ranked.where("o = 1").select(F.col("item").alias("item_id"), F.col("item_id").alias("name"))
-    return found.select("doc_id", "item_id").distinct().join(names, "item_id").select("doc_id", F.col("name").alias("item_id")).distinct()
+    found = []
+    for block in _blocks(items, item_id, text):
+        counted = _counted(index, block).where("n > 0").select("item_id", "words", "word", "n").distinct()
+        by = Window.partitionBy("item_id", "words").orderBy("n", "word")
+        ranked = counted.withColumn("o", F.row_number().over(by)).where(F.col("o") <= terms).groupBy("item_id", "words").agg(F.array_sort(F.collect_list(F.struct("o", "word"))).alias("r"))
+        rarest = cut(ranked.where(F.size("r") == terms).select("item_id", F.col("r.word").alias("rarest")))
+        found.append(_search(index, rarest.select(F.explode("rarest").alias("word")), rarest, _close(within), "doc_id bigint, item_id bigint"))
+    return reduce(DataFrame.unionByName, found).distinct()
