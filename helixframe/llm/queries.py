@@ -36,6 +36,11 @@ def p4_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(table(spark, sf_dir, "bas_reads"), "read_id", "basecall", "merge_qv", limit=2, least=4, duration="width_in_frames")
 
 
+def p4_mean_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs merged by the means of their merge_qv, the nearest first, across one unknown base at most."""
+    return runs.collapse_runs(table(spark, sf_dir, "bas_reads"), "read_id", "basecall", "merge_qv", limit=2, least=4, duration="width_in_frames", linkage=runs.MEAN, max_gap=1)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, sf_dir, "alignment_index"), ["movie_id", "hole_number"], "map_qv", "aln_id", 3).select("movie_id", "hole_number", "aln_id")
 
@@ -101,7 +106,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.junk_shares(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _page_model(spark, sf_dir))
 
 
-QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p9_matches": p9_matches, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p3_repeats": p3_repeats, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found}
+QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p9_matches": p9_matches, "p7_percentiles": p7_percentiles, "p7_percentiles_from_days": p7_percentiles_from_days, "p3_found": p3_found, "p3_share": p3_share, "p3_repeats": p3_repeats, "p4_found": p4_found, "p4_events": p4_events, "p4_mean_runs": p4_mean_runs, "p5_found": p5_found}
 
 _P3 = """
 d AS (SELECT DISTINCT read_id, basecall FROM bas_reads WHERE length(basecall) >= 60),

@@ -19,19 +19,24 @@ EDGE, MEAN = "edge", "mean"
 CHUNK_EVENTS = 1_000_000
 
 
-def agglomerate(label: np.ndarray, value: np.ndarray, breaks: np.ndarray, limit: float, linkage: str = EDGE) -> np.ndarray:
+def agglomerate(label: np.ndarray, value: np.ndarray, breaks: np.ndarray, limit: float, linkage: str = EDGE, max_gap: int = 0) -> np.ndarray:
     """Number of the first event of each event's run.
 
-    Two neighbouring runs can merge if their labels are equal, no break lies before the later one and they differ by
-    ``limit`` or less: ``edge`` compares the two events that touch, ``mean`` the means of the runs. Label -1 never merges.
+    Two neighbouring runs can merge if their labels are equal, no break lies before the later one, at most ``max_gap`` unknown
+    events (label -1) lie between, and they differ by ``limit`` or less: ``edge`` compares the two events that touch, ``mean`` the
+    means of the runs. An unknown event is a run of its own.
     """
     n = len(label)
-    joined = np.flatnonzero((label[1:] == label[:-1]) & (label[1:] >= 0) & ~breaks[1:]) if n > 1 else np.empty(0, np.int64)
+    known = np.flatnonzero(label >= 0)
+    part = np.cumsum(breaks)[known]
+    alike = (label[known][1:] == label[known][:-1]) & (part[1:] == part[:-1]) & (np.diff(known) <= max_gap + 1)
+    joined = np.flatnonzero(alike)
     if not len(joined):
         return np.arange(n)
     # The list holds only events that may merge with a neighbour, numbered anew; all others are runs as they are.
-    held = np.union1d(joined, joined + 1)
-    can = np.isin(held, joined, assume_unique=True).tolist()  # this event and the next may merge
+    of_list = np.union1d(joined, joined + 1)
+    can = np.isin(of_list, joined, assume_unique=True).tolist()  # this event and the next may merge
+    held = known[of_list]
     v = value[held].astype(np.float64).tolist()
     m = len(v)
     prev_run, next_run, alive = list(range(-1, m - 1)), list(range(1, m + 1)), bytearray(b"\x01") * m
@@ -69,9 +74,11 @@ def agglomerate(label: np.ndarray, value: np.ndarray, breaks: np.ndarray, limit:
             d = abs(v[end] - v[after])
             if d <= limit:
                 push(heap, (d, a, after))
-    heads = np.ones(n, bool)
-    heads[held[np.frombuffer(alive, np.uint8) == 0]] = False
-    return np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+    gone = np.zeros(n, bool)
+    gone[held[np.frombuffer(alive, np.uint8) == 0]] = True
+    heads = np.arange(n)
+    heads[known] = np.maximum.accumulate(np.where(gone[known], 0, known))
+    return heads
 
 
 def _lists(column: pa.Array, lengths: np.ndarray) -> np.ndarray:
@@ -88,7 +95,7 @@ def _lists(column: pa.Array, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs_of(batch: pa.RecordBatch, limit: float, least: int, linkage: str, durations: bool) -> pa.RecordBatch:
+def _runs_of(batch: pa.RecordBatch, limit: float, least: int, linkage: str, max_gap: int, durations: bool) -> pa.RecordBatch:
     texts = [(x or "").upper().encode("ascii", "replace") if x is None or len(x.upper()) == len(x) else x.encode("ascii", "replace") for x in batch["sequence"].to_pylist()]
     lengths = np.array([len(x) for x in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
@@ -97,29 +104,31 @@ def _runs_of(batch: pa.RecordBatch, limit: float, least: int, linkage: str, dura
     label[(label == ord("N")) | (label == ord("?")) | np.isnan(value)] = -1
     breaks = np.zeros(len(label), bool)
     breaks[starts[lengths > 0]] = True
-    heads = np.unique(agglomerate(label, np.nan_to_num(value), breaks, limit, linkage))
-    size = np.diff(np.append(heads, len(label)))
-    kept = (size >= least) & (label[heads] >= 0)
-    heads, size = heads[kept], size[kept]
+    first_of = agglomerate(label, np.nan_to_num(value), breaks, limit, linkage, max_gap)
+    known = np.flatnonzero(label >= 0)
+    at = np.flatnonzero(np.append(True, first_of[known][1:] != first_of[known][:-1])) if len(known) else known
+    size = np.diff(np.append(at, len(known)))
+    kept = size >= least
+    heads, tails, size, at = known[at[kept]], known[at[kept] + size[kept] - 1], size[kept], at[kept]
     of = np.searchsorted(starts + lengths, heads, side="right")
-    first = heads - starts[of]
-    cols = [batch["id"].take(pa.array(of)), pa.array(first, pa.int32()), pa.array(first + size - 1, pa.int32()), pa.array(size, pa.int32()), pa.array([chr(x) for x in label[heads]], pa.string())]
+    cols = [batch["id"].take(pa.array(of)), pa.array(heads - starts[of], pa.int32()), pa.array(tails - starts[of], pa.int32()), pa.array(size, pa.int32()), pa.array([chr(x) for x in label[heads]], pa.string())]
     names = ["id", "first_base", "last_base", "n_bases", "base"]
     if durations:
-        width = _lists(batch["duration"], lengths)
-        known = np.append(0, np.cumsum(~np.isnan(width)))
+        width = _lists(batch["duration"], lengths)[known]
+        given = np.append(0, np.cumsum(~np.isnan(width)))
         upto = np.append(0, np.cumsum(np.nan_to_num(width)))
-        cols.append(pa.array((upto[heads + size] - upto[heads]).astype(np.int64), mask=known[heads + size] == known[heads]))
+        cols.append(pa.array((upto[at + size] - upto[at]).astype(np.int64), mask=given[at + size] == given[at]))
         names.append("duration")
     return pa.RecordBatch.from_arrays(cols, names)
 
 
-def collapse_runs(df: DataFrame, row_id: str, sequence: str, value: str, limit: float, least: int, duration: str | None = None, linkage: str = EDGE) -> DataFrame:
+def collapse_runs(df: DataFrame, row_id: str, sequence: str, value: str, limit: float, least: int, duration: str | None = None, linkage: str = EDGE, max_gap: int = 0) -> DataFrame:
     """Runs of ``least`` or more consecutive equal letters whose values meet the limit (see ``agglomerate``).
 
     Returns ``(row_id, first_base, last_base, n_bases, base[, duration])``, both positions included; duration is the sum
     of the array column ``duration`` over the run, null if none of its elements is known. Case doesn't matter; N, letters outside
-    ASCII and letters without a value (array null, too short, or null there) are in no run. A null row_id or
+    ASCII and letters without a value (array null, too short, or null there) are in no run, and part two runs unless at most ``max_gap``
+    of them lie between; they are not counted. A null row_id or
     sequence gives nothing; repeats of a row count once; each sequence is worked whole within one task.
     """
     named = {row_id: "id", sequence: "sequence", value: "value"} | ({duration: "duration"} if duration else {})
@@ -132,7 +141,7 @@ def collapse_runs(df: DataFrame, row_id: str, sequence: str, value: str, limit:
             while at < batch.num_rows:
                 done = upto[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(upto, done + CHUNK_EVENTS, side="right")))
-                yield _runs_of(pa.RecordBatch.from_arrays([c.slice(at, end - at) for c in batch.columns], batch.schema.names), limit, least, linkage, duration is not None)
+                yield _runs_of(pa.RecordBatch.from_arrays([c.slice(at, end - at) for c in batch.columns], batch.schema.names), limit, least, linkage, max_gap, duration is not None)
                 at = end
 
     schema = f"id {df.schema[row_id].dataType.simpleString()}, first_base int, last_base int, n_bases int, base string" + (", duration long" if duration else "")
