@@ -208,11 +208,13 @@ def cast_value(value: object, rank: int) -> tuple[object, bool]:
 
 
 def readable_rank(value: object) -> int:
-    """The narrowest of integer, real and list that holds the value as ``cast_value`` reads it; 0 if none does, as for null and text that is no number."""
+    """The narrowest of integer, real and list that holds the value as ``cast_value`` reads it; 0 if none does, as for null, text that is no number and lists with such text."""
     if value is None or isinstance(value, str) and not value.strip():
         return 0
     if isinstance(value, list) and not isinstance(value, _Object):
-        return readable_rank(value[0]) if len(value) == 1 else LIST
+        if len(value) == 1:
+            return readable_rank(value[0])
+        return LIST if all(x is None or readable_rank(x) in (INTEGER, REAL) for x in value) else 0
     return next((rank for rank in (INTEGER, REAL) if cast_value(value, rank)[1]), 0)
 
 

@@ -34,11 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one only where the session names none."""
+    """The shared checkpoint folder the session names; where it names none, a temporary one in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="helixframe-checkpoint-")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
