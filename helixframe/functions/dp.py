@@ -16,7 +16,7 @@ INF = 1 << 28
 GROUP_CELLS = 4_000_000
 
 #: Fixed values: (match, mismatch) of the named score matrices; N costs nothing but in the first, where it is 0 too.
-MATRICES = {"smrt": (-5, 6), "log_prob": (0, 15), "edit": (0, 1), "qv": (-1, 1)}
+MATRICES = {"long_read": (-5, 6), "log_prob": (0, 15), "edit": (0, 1), "qv": (-1, 1)}
 #: Which ends are free: query prefix, target prefix, query suffix, target suffix.
 MODES = {
     "global": (False, False, False, False),
@@ -140,13 +140,15 @@ def align(query: str, target: str, scores: Scores, mode: str = "global", band: i
 
 
 def align_many(
-    queries: list[str], targets: list[str], scores: Scores, mode: str = "global", band: int | None = None, guides: list | None = None, trace: bool = True
+    queries: list[str], targets: list[str], scores: Scores, mode: str = "global", band: int | None = None, guides: list | None = None, trace: bool = True, qualities: list | None = None
 ) -> list[Alignment | None]:
     """Best alignment of each query with its target, rows of all matrices at a time.
 
     ``band`` keeps to so many columns on either side of the diagonal or, with a guide (blocks of another alignment), of that
     one. None if the band lets nothing through. Without ``trace`` only the score and the end are found. Ties: aligned letters go before
-    insertions, those before deletions; of equal ends the first. Pairs are taken in groups of like size and bounded memory.
+    insertions, those before deletions; of equal ends the first. Pairs are taken in groups of like size and bounded memory; with a band
+    a pair holds 2 * band + 1 columns. ``qualities``: per query None or a quality per letter, by which the
+    score of that letter with any other is multiplied (a null counts as 0, a letter beyond the list as 1).
     """
     found: list[Alignment | None] = [None] * len(queries)
     guides = guides or [None] * len(queries)
@@ -156,17 +158,18 @@ def align_many(
         end, m = at, 0
         while end < len(order):
             m_new = max(m, len(targets[order[end]]) + 1)
-            if end > at and m_new * (len(queries[order[end]]) + 1) * (end - at + 1) > GROUP_CELLS:
+            held = m_new if band is None else min(m_new, 2 * band + 1)
+            if end > at and held * (len(queries[order[end]]) + 1) * (end - at + 1) > GROUP_CELLS:
                 break
             m, end = m_new, end + 1
         part = order[at:end]
-        for k, a in zip(part, _group([queries[k] for k in part], [targets[k] for k in part], scores, mode, band, [guides[k] for k in part], trace)):
+        for k, a in zip(part, _group([queries[k] for k in part], [targets[k] for k in part], scores, mode, band, [guides[k] for k in part], trace, None if qualities is None else [qualities[k] for k in part])):
             found[k] = a
         at = end
     return found
 
 
-def _group(queries, targets, scores, mode, band, guides, trace) -> list[Alignment | None]:
+def _group(queries, targets, scores, mode, band, guides, trace, qualities=None) -> list[Alignment | None]:
     qs, ts = [codes(x) for x in queries], [codes(x) for x in targets]
     count = len(qs)
     ns, ms = np.array([len(x) for x in qs]), np.array([len(x) for x in ts])
@@ -177,46 +180,74 @@ def _group(queries, targets, scores, mode, band, guides, trace) -> list[Alignmen
     free_qp, free_tp, free_qs, free_ts = MODES[mode]
     local, sub = mode == "local", scores.table
     open_, d_ext, two = scores.open, scores.deletion, scores.long_open is not None
-    cols = np.arange(m + 1, dtype=np.int64)
     each = np.arange(count)
-    real = cols <= ms[:, None]
+    weights = None
+    if qualities is not None:
+        weights = np.ones((count, n), np.int64)
+        for k, quality in enumerate(qualities):
+            if quality is not None:
+                known = [0 if x is None else int(x) for x in quality[: ns[k]]]
+                weights[k, : len(known)] = known
+    # Only a window of columns is held of each row: all of them, or those of the band, which moves right from row to row.
+    width = m + 1 if band is None else min(m + 1, 2 * band + 1)
     middle = np.zeros((count, n + 1), np.int64)
     if band is not None:
         for k in range(count):
             middle[k, : ns[k] + 1] = _centres(int(ns[k]), int(ms[k]), guides[k])
-
-    def outside(i: int) -> np.ndarray:
-        if band is None:
-            return ~real
-        c = middle[:, min(i, n)][:, None]
-        return ~real | (cols < c - band) | (cols > c + band)
-
+            middle[k, ns[k] + 1 :] = middle[k, ns[k]]
+    low = np.zeros((count, n + 1), np.int64) if band is None else np.clip(middle - band, 0, m + 1 - width)
+    window = np.arange(width, dtype=np.int64)
+    t_padded = np.concatenate([t, np.full((count, 1), 4, np.int64)], axis=1)
+
+    def outside(i: int, cols: np.ndarray) -> np.ndarray:
+        gone = cols > ms[:, None]
+        if band is not None:
+            c = middle[:, i][:, None]
+            gone |= (cols < c - band) | (cols > c + band)
+        return gone
+
+    def moved(row: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """The row above, seen from this row's window moved by ``shift``; infinite beyond it."""
+        if width == m + 1:
+            if not np.any(shift):
+                return row
+            back = -int(shift[0])
+            return np.concatenate([np.full((count, back), INF, np.int64), row[:, : width - back]], axis=1)
+        at = window[None, :] + shift[:, None]
+        return np.where((at >= 0) & (at < width), np.take_along_axis(row, np.clip(at, 0, width - 1), axis=1), INF)
+
+    def in_row(row: np.ndarray, j: np.ndarray, i: int) -> np.ndarray:
+        at = j - low[:, i]
+        return np.where((at >= 0) & (at < width), row[each, np.clip(at, 0, width - 1)], INF)
+
+    cols = low[:, 0][:, None] + window
     gap_d = open_ + d_ext * cols
     if two:
         gap_d = np.minimum(gap_d, scores.long_open + scores.long_ext * cols)
-    gap_d[0] = 0
-    h = np.tile(np.zeros(m + 1, np.int64) if free_tp else gap_d, (count, 1))
-    h[outside(0)] = INF
-    f, g = np.full((count, m + 1), INF, np.int64), np.full((count, m + 1), INF, np.int64)
-    source = np.zeros((n + 1, count, m + 1), np.uint8) if trace else None
-    parts = np.zeros((n + 1, count, m + 1), np.int32) if trace else None
+    gap_d = np.where(cols == 0, 0, gap_d)
+    h = np.zeros((count, width), np.int64) if free_tp else gap_d
+    h[outside(0, cols)] = INF
+    f, g = np.full((count, width), INF, np.int64), np.full((count, width), INF, np.int64)
+    source = np.zeros((n + 1, count, width), np.uint8) if trace else None
+    parts = np.full((n + 1, count, width), INF, np.int32) if trace else None
     best, end_i, end_j = np.full(count, INF, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
     if local:
         best[:] = 0
     elif free_qs:
-        best, end_j = np.minimum(h[each, ms], INF), ms.copy()
+        best, end_j = np.minimum(in_row(h, ms, 0), INF), ms.copy()
 
     def close(i: int) -> None:
         """Ends in the last row of the pairs whose query is i long."""
         if local:
             return
         if free_ts:
-            j = h.argmin(axis=1)
-            take = (ns == i) & (h[each, j] < best)
+            at = h.argmin(axis=1)
+            j, v = at + low[:, i], h[each, at]
+            take = (ns == i) & (v < best)
         else:
-            j = ms
-            take = (ns == i) & ((h[each, ms] < best) | (not free_qs))
-        best[take], end_i[take], end_j[take] = h[each, j][take], i, j[take]
+            j, v = ms, in_row(h, ms, i)
+            take = (ns == i) & ((v < best) | (not free_qs))
+        best[take], end_i[take], end_j[take] = v[take], i, j[take]
 
     close(0)
     i_cost = np.zeros(count, np.int64)
@@ -226,37 +257,44 @@ def _group(queries, targets, scores, mode, band, guides, trace) -> list[Alignmen
             ext[q[:, i - 1] == q[:, i - 2]] = scores.homopolymer_insertion
         i_cost += ext
         e = ext[:, None]
-        f = np.minimum(f, h + open_) + e
+        shift = low[:, i] - low[:, i - 1]
+        cols = low[:, i][:, None] + window
+        above, f = moved(h, shift), moved(f, shift)
+        f = np.minimum(f, above + open_) + e
         ins = f
         if two:
-            g = np.minimum(g, h + scores.long_open) + scores.long_ext
+            g = np.minimum(moved(g, shift), above + scores.long_open) + scores.long_ext
             ins = np.minimum(f, g)
-        diag = np.full((count, m + 1), INF, np.int64)
-        diag[:, 1:] = h[:, :-1] + sub[q[:, i - 1][:, None], t]
+        pair = sub[q[:, i - 1][:, None], np.take_along_axis(t_padded, np.clip(cols - 1, 0, m), axis=1)]
+        if weights is not None:
+            pair = pair * weights[:, i - 1][:, None]
+        diag = np.where(cols == 0, INF, moved(h, shift - 1) + pair)
         part = np.minimum(diag, ins)
-        part[:, 0] = 0 if free_qp else np.minimum(open_ + i_cost, scores.long_open + scores.long_ext * i) if two else open_ + i_cost
-        out = outside(i)
+        first = 0 if free_qp else np.minimum(open_ + i_cost, scores.long_open + scores.long_ext * i) if two else open_ + i_cost
+        part = np.where(cols == 0, np.broadcast_to(np.asarray(first), (count,))[:, None], part)
+        out = outside(i, cols)
         part[out] = INF
-        dele = np.full((count, m + 1), INF, np.int64)
-        dele[:, 1:] = open_ + d_ext * cols[1:] + np.minimum.accumulate(part - d_ext * cols, axis=1)[:, :-1]
+        dele = np.full((count, width), INF, np.int64)
+        dele[:, 1:] = open_ + d_ext * cols[:, 1:] + np.minimum.accumulate(part - d_ext * cols, axis=1)[:, :-1]
         if two:
-            dele[:, 1:] = np.minimum(dele[:, 1:], scores.long_open + scores.long_ext * cols[1:] + np.minimum.accumulate(part - scores.long_ext * cols, axis=1)[:, :-1])
+            dele[:, 1:] = np.minimum(dele[:, 1:], scores.long_open + scores.long_ext * cols[:, 1:] + np.minimum.accumulate(part - scores.long_ext * cols, axis=1)[:, :-1])
         dele[out] = INF
         h = np.minimum(np.minimum(part, dele), INF)
         if trace:
             row = np.where(diag <= h, 0, np.where(part <= h, 1, 2)).astype(np.uint8)
-            row[:, 0] = 3 if free_qp else 1
+            row[cols == 0] = 3 if free_qp else 1
             if local:
                 row[h >= 0] = 3
             source[i], parts[i] = row, np.minimum(part, INF)
         if local:
             np.minimum(h, 0, out=h)
             h[out] = INF
-            j = h.argmin(axis=1)
-            take = (i <= ns) & (h[each, j] < best)
-            best[take], end_i[take], end_j[take] = h[each, j][take], i, j[take]
+            at = h.argmin(axis=1)
+            v = h[each, at]
+            take = (i <= ns) & (v < best)
+            best[take], end_i[take], end_j[take] = v[take], i, (at + low[:, i])[take]
         elif free_qs:
-            v = h[each, ms]
+            v = in_row(h, ms, i)
             take = (i <= ns) & (v < best)
             best[take], end_i[take], end_j[take] = v[take], i, ms[take]
         close(i)
@@ -267,10 +305,27 @@ def _group(queries, targets, scores, mode, band, guides, trace) -> list[Alignmen
         elif not trace:
             done.append(Alignment(int(best[k]), -1, int(end_i[k]), -1, int(end_j[k])))
         else:
-            done.append(_walk(qs[k], ts[k], scores, source[:, k], parts[:, k], int(best[k]), (int(end_i[k]), int(end_j[k])), free_qp, free_tp, local))
+            weight = None if weights is None else weights[k]
+            done.append(_walk(qs[k], ts[k], scores, _Rows(source[:, k], low[k]), _Rows(parts[:, k], low[k]), int(best[k]), (int(end_i[k]), int(end_j[k])), free_qp, free_tp, local, weight))
     return done
 
 
+@dataclass
+class _Rows:
+    """Rows of a matrix of which a window is held."""
+
+    cells: np.ndarray
+    low: np.ndarray
+
+    def at(self, i: int, j: int) -> int:
+        return int(self.cells[i, j - self.low[i]])
+
+    def upto(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The held columns up to j and their values."""
+        cols = np.arange(self.low[i], j + 1)
+        return cols, self.cells[i, : len(cols)].astype(np.int64)[: self.cells.shape[1]]
+
+
 def _centres(n: int, m: int, guide: list[tuple[int, int, int]] | None) -> np.ndarray:
     """The column each row's band lies around: the diagonal of equal shares, or the guide's path."""
     if not guide:
@@ -282,7 +337,7 @@ def _centres(n: int, m: int, guide: list[tuple[int, int, int]] | None) -> np.nda
     return np.clip(np.round(np.interp(np.arange(n + 1), xs, ys)), 0, m).astype(np.int64)
 
 
-def _walk(q, t, scores, source, parts, best, end, free_qp, free_tp, local) -> Alignment:
+def _walk(q, t, scores, source, parts, best, end, free_qp, free_tp, local, weight=None) -> Alignment:
     i, j = end
     steps: list[str] = []
     gap = lambda k, ext: min(scores.open + ext * k, scores.long_open + scores.long_ext * k) if scores.long_open is not None else scores.open + ext * k
@@ -295,14 +350,15 @@ def _walk(q, t, scores, source, parts, best, end, free_qp, free_tp, local) -> Al
                 steps += ["D"] * j
                 j = 0
             break
-        s = source[i, j]
+        s = source.at(i, j)
         if j == 0:
             if not free_qp:
                 steps += ["I"] * i
                 i = 0
             break
         if s == 0:
-            value -= int(scores.table[q[i - 1], t[j - 1]])
+            cost = int(scores.table[q[i - 1], t[j - 1]])
+            value -= cost if weight is None else cost * int(weight[i - 1])
             steps.append("M")
             i, j = i - 1, j - 1
         elif s == 1:
@@ -319,10 +375,10 @@ def _walk(q, t, scores, source, parts, best, end, free_qp, free_tp, local) -> Al
             steps += ["I"] * k
             i, value = i - k, value - cost
         elif s == 2:
-            row, k = parts[i], 0
-            while k < j:
+            k = 0
+            while k < j - parts.low[i]:
                 k += 1
-                if int(row[j - k]) + gap(k, scores.deletion) == value:
+                if parts.at(i, j - k) + gap(k, scores.deletion) == value:
                     break
             steps += ["D"] * k
             value -= gap(k, scores.deletion)
@@ -337,12 +393,12 @@ def _value(parts, scores, i, j, free_tp, free_qp, local, gap) -> int:
     """The score at a cell, from the stored part without deletions."""
     if i == 0:
         return 0 if j == 0 or free_tp else gap(j, scores.deletion)
-    row = parts[i]
-    k = np.arange(1, j + 1)
+    cols, row = parts.upto(i, j)
+    if not len(row) or cols[0] > j or j - parts.low[i] >= parts.cells.shape[1]:
+        return INF
+    k = j - cols
     cost = np.minimum(scores.open + scores.deletion * k, scores.long_open + scores.long_ext * k) if scores.long_open is not None else scores.open + scores.deletion * k
-    best = int(row[j])
-    if j:
-        best = min(best, int((row[j - k] + cost).min()))
+    best = int((row + np.where(k > 0, cost, 0)).min())
     return min(best, 0) if local else best
 
 
@@ -374,6 +430,13 @@ def extend(query: str, target: str, scores: Scores, drop: int = 30, max_rises: i
     return found or Alignment(0, 0, 0, 0, 0)
 
 
+def extend_back(query: str, target: str, scores: Scores, drop: int = 30, max_rises: int = 10, band: int = 15) -> Alignment:
+    """``extend`` from the ends of both sequences towards their starts."""
+    a = extend(query[::-1], target[::-1], scores, drop, max_rises, band)
+    n, m = len(query), len(target)
+    return Alignment(a.score, n - a.q_end, n - a.q_start, m - a.t_end, m - a.t_start, a.ops[::-1])
+
+
 def one_gap(query: str, target: str, scores: Scores) -> Alignment:
     """The best alignment with one gap at most, which is as long as the two differ."""
     q, t = codes(query), codes(target)

@@ -30,6 +30,7 @@ class MapParams:
     candidates: int = 10
     band: int = 24
     pad: int = 40
+    tile: int = 1 << 16
     min_read_length: int = 50
     max_score: int = -200
     min_identity: float = 70.0
@@ -39,7 +40,7 @@ class MapParams:
     policy: str = "bestn"
     seed: int = 0
     no_self: bool = False
-    scores: dp.Scores = dp.Scores.named("smrt", insertion=5, deletion=5)
+    scores: dp.Scores = dp.Scores.named("long_read", insertion=5, deletion=5)
 
 
 ANCHOR = "array<struct<q:int,t:int,length:int>>"
@@ -86,25 +87,29 @@ def with_log_p(found: DataFrame, targets: DataFrame, target_id: str, seq: str, k
     return found.join(each.groupBy("q_id", "t_id", "part").agg(F.round(F.sum(log_p), 6).alias("log_p")), ["q_id", "t_id", "part"])
 
 
-def align_pairs(pairs: DataFrame, scores: dp.Scores, mode: str = "global", band: int | None = None, guide: str | None = None, method: str = "dp", keep_strings: bool = False) -> DataFrame:
+def align_pairs(pairs: DataFrame, scores: dp.Scores, mode: str = "global", band: int | None = None, guide: str | None = None, method: str = "dp", keep_strings: bool = False, quality: str | None = None) -> DataFrame:
     """Pairs with columns ``query`` and ``target`` aligned; all other columns are kept, ``guide`` is dropped.
 
+    ``quality`` names an array column with the query's quality values, by which its letters' scores are multiplied (see dp.align_many).
+
     Adds ``score, q_start, q_end, t_start, t_end, cigar, n_match, n_mismatch, n_ins, n_del, pct_similarity, drift`` and, if asked,
-    the three gapped strings. ``method``: ``dp`` (see dp.align), ``sparse``, ``extend``, ``one_gap``. A null sequence, or a band that
+    the three gapped strings. ``method``: ``dp`` (see dp.align), ``sparse``, ``extend`` (from the starts), ``extend_back`` (from the ends), ``one_gap``. A null sequence, or a band that
     nothing passes, gives nulls.
     """
     kept = [c for c in pairs.columns if c != guide]
     ints = ["score", "q_start", "q_end", "t_start", "t_end", "n_match", "n_mismatch", "n_ins", "n_del", "drift"]
     texts = ["cigar", *(("q_string", "ticks", "t_string") if keep_strings else ())]
 
-    def solve(qs: list[str], ts: list[str], gs: list) -> list[dp.Alignment | None]:
+    def solve(qs: list[str], ts: list[str], gs: list, qvs: list | None) -> list[dp.Alignment | None]:
         if method == "sparse":
             return [dp.sparse_align(q, t, scores) for q, t in zip(qs, ts)]
         if method == "extend":
             return [dp.extend(q, t, scores) for q, t in zip(qs, ts)]
+        if method == "extend_back":
+            return [dp.extend_back(q, t, scores) for q, t in zip(qs, ts)]
         if method == "one_gap":
             return [dp.one_gap(q, t, scores) for q, t in zip(qs, ts)]
-        return dp.align_many(qs, ts, scores, mode, band, [[(x["q"], x["t"], x["length"]) for x in g] if g else None for g in gs])
+        return dp.align_many(qs, ts, scores, mode, band, [[(x["q"], x["t"], x["length"]) for x in g] if g else None for g in gs], qualities=qvs)
 
     def row(a: dp.Alignment | None, q: str, t: str) -> dict:
         if a is None:
@@ -118,7 +123,8 @@ def align_pairs(pairs: DataFrame, scores: dp.Scores, mode: str = "global", band:
             qs, ts = batch["query"].to_pylist(), batch["target"].to_pylist()
             known = [i for i in range(len(qs)) if qs[i] is not None and ts[i] is not None]
             rows: list[dict] = [{}] * len(qs)
-            for i, a in zip(known, solve([qs[i] for i in known], [ts[i] for i in known], [guides[i] for i in known])):
+            qvs = batch[quality].to_pylist() if quality else None
+            for i, a in zip(known, solve([qs[i] for i in known], [ts[i] for i in known], [guides[i] for i in known], [qvs[i] for i in known] if qvs else None)):
                 rows[i] = row(a, qs[i], ts[i])
             arrays = [batch[c] for c in kept] + [pa.array([r.get(c) for r in rows], pa.int32()) for c in ints]
             arrays += [pa.array([r.get("pct_similarity") for r in rows], pa.float64())] + [pa.array([r.get(c) for r in rows], pa.string()) for c in texts]
@@ -181,6 +187,22 @@ def with_mapping_quality(df: DataFrame, read: str, row_id: str) -> DataFrame:
     return df.join(grouped.select("hits").mapInArrow(kernel, f"`{row_id}` {id_type}, map_qv int"), row_id)
 
 
+def with_windows(found: DataFrame, contigs: DataFrame, tile: int) -> DataFrame:
+    """``found`` with ``target``, the letters of contig ``t_id`` (of ``contigs``: t_id, seq) from ``_lo`` to ``_hi``.
+
+    Contigs are cut into tiles, and a window is put together from the tiles it touches, so no row ever holds a contig; the tiles are
+    met by an equi-join on contig and tile. An empty window gives an empty text.
+    """
+    tiles = contigs.select("t_id", F.col("seq"), F.explode(F.expr(f"sequence(0, greatest(length(seq) - 1, 0) div {tile})")).alias("_tile"))
+    tiles = tiles.select("t_id", "_tile", F.expr(f"substring(seq, _tile * {tile} + 1, {tile})").alias("_letters"))
+    rows = found.withColumn("_row", F.concat_ws(":", *(c for c in ("q_id", "t_id", "part", "_lo", "_hi"))))
+    touched = rows.select("_row", "t_id", "_lo", "_hi", F.explode(F.expr(f"sequence(_lo div {tile}, greatest(_hi - 1, _lo) div {tile})")).alias("_tile"))
+    cut_out = F.expr(f"substring(_letters, greatest(_lo - _tile * {tile}, 0) + 1, least(_hi - _tile * {tile}, {tile}) - greatest(_lo - _tile * {tile}, 0))")
+    parts = touched.join(tiles, ["t_id", "_tile"]).select("_row", F.struct("_tile", cut_out.alias("s")).alias("x"))
+    whole = parts.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "").alias("target"))
+    return rows.join(whole, "_row").drop("_row")
+
+
 def map_reads(reads: DataFrame, contigs: DataFrame, p: MapParams = MapParams()) -> DataFrame:
     """Alignments of reads ``(read_id LONG, seq)`` to contigs ``(contig_id LONG, seq)``, both strands.
 
@@ -198,16 +220,15 @@ def map_reads(reads: DataFrame, contigs: DataFrame, p: MapParams = MapParams())
     found = chains(contiguous_groups(maximal_matches(hits, p.k), p.max_gap)).where(F.col("weight") >= p.min_chain_bases)
     best = Window.partitionBy(F.expr("q_id div 2")).orderBy(F.desc("weight"), "t_id", "t_start", "q_id")
     found = found.withColumn("_c", F.row_number().over(best)).where(F.col("_c") <= p.candidates)
-    found = found.join(r.select("q_id", F.col("seq").alias("query")), "q_id").join(c.select("t_id", F.col("seq").alias("_target")), "t_id")
+    found = found.join(r.select("q_id", F.col("seq").alias("query")), "q_id").join(c.select("t_id", F.length("seq").alias("_t_length")), "t_id")
     # The window of the contig that the whole read can reach from its chain.
     reach = lambda n: (n * 1.3).cast("int") + p.pad
     lo = F.greatest(F.lit(0), F.col("t_start") - reach(F.col("q_start")))
-    hi = F.least(F.length("_target"), F.col("t_end") + reach(F.length("query") - F.col("q_end")))
-    found = found.withColumn("_lo", lo).withColumn("_hi", hi)
+    hi = F.least(F.col("_t_length"), F.col("t_end") + reach(F.length("query") - F.col("q_end")))
+    found = with_windows(found.withColumn("_lo", lo).withColumn("_hi", hi), c, p.tile)
     guide = F.transform("anchors", lambda a: F.struct(a["q"].alias("q"), (a["t"] - F.col("_lo")).alias("t"), a["length"].alias("length")))
     pairs = found.select(
-        "q_id", "t_id", "weight", "n_anchors", "_lo", F.length("query").alias("q_length"), F.length("_target").alias("t_length"), "query",
-        F.expr("substring(_target, _lo + 1, _hi - _lo)").alias("target"), guide.alias("guide"),
+        "q_id", "t_id", "weight", "n_anchors", "_lo", F.length("query").alias("q_length"), F.col("_t_length").alias("t_length"), "query", "target", guide.alias("guide"),
     )
     done = align_pairs(pairs, p.scores, "local", p.band, "guide").drop("query", "target", "drift")
     done = done.withColumn("t_start", F.col("t_start") + F.col("_lo")).withColumn("t_end", F.col("t_end") + F.col("_lo")).drop("_lo")

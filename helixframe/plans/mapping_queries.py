@@ -14,8 +14,8 @@ from helixframe.sources import formats
 
 QUERIES, SQL = {}, {}
 S = SparkSession
-SCORES = dp.Scores.named("smrt", insertion=5, deletion=5)
-AFFINE = dp.Scores.named("smrt", insertion=1, deletion=1, open=10)
+SCORES = dp.Scores.named("long_read", insertion=5, deletion=5)
+AFFINE = dp.Scores.named("long_read", insertion=1, deletion=1, open=10)
 
 
 def query(f):
@@ -44,8 +44,8 @@ QUERIES |= {
     "align_overlap": _aligned("overlap"),
     "align_banded": _aligned(band=12),
     "align_affine": _aligned(scores=AFFINE),
-    "align_affine_banded": _aligned(scores=dp.Scores.named("smrt", insertion=1, deletion=1, open=10, homopolymer_insertion=0), band=12),
-    "align_long_gap": _aligned(scores=dp.Scores.named("smrt", insertion=4, deletion=4, long_open=20, long_ext=0)),
+    "align_affine_banded": _aligned(scores=dp.Scores.named("long_read", insertion=1, deletion=1, open=10, homopolymer_insertion=0), band=12),
+    "align_long_gap": _aligned(scores=dp.Scores.named("long_read", insertion=4, deletion=4, long_open=20, long_ext=0)),
     "align_sdp": _aligned(method="sparse"),
     "align_one_gap": _aligned(method="one_gap"),
     "extend_xdrop": _aligned(method="extend"),

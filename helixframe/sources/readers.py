@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,18 +33,76 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.select(base_title(title).alias("name"), title.alias("title"), seq.alias("seq")).select("*", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("md5"))
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+#: Bytes looked at to find where the first record of a split begins.
+_SYNC = 1 << 20
+
+
+def _fastq_splits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records that begin within the splits (path, start, end) of files, some thousand at a time."""
+    for batch in it:
+        for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            system, name = fs.FileSystem.from_uri(path)
+            with system.open_input_file(name) as f:
+                at = _first_record(f, start, _SYNC) if start else 0
+                f.seek(at)
+                lines = io.BufferedReader(f, 1 << 20)
+                rows: list[tuple[str, str, str]] = []
+                while at < end:
+                    record = [lines.readline() for _ in range(4)]
+                    if not record[0]:
+                        break
+                    at += sum(map(len, record))
+                    if not record[0].strip():  # blank lines at the end
+                        continue
+                    title, seq, _, qual = (x.decode("utf-8", "replace").rstrip("\r\n") for x in record)
+                    rows.append((title[1:], seq, qual))
+                    if len(rows) >= 2000:
+                        yield _fastq_batch(rows)
+                        rows = []
+                if rows:
+                    yield _fastq_batch(rows)
+
+
+def _fastq_batch(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["title", "seq", "q"])
+
+
+def _first_record(f, start: int, size: int) -> int:
+    """Where the first record at or after ``start`` begins: a line with ``@`` whose next but one has ``+`` and whose sequence and quality
+    are equally long (a quality line may begin with ``@`` too). More is read until it is found or the file ends."""
+    while True:
+        f.seek(start - 1)
+        data = f.read(size)
+        at = data.find(b"\n") + 1
+        whole = len(data) < size
+        lines, places = [], []
+        while at and at < len(data):
+            end = data.find(b"\n", at)
+            if end < 0 and not whole:
+                break
+            end = len(data) if end < 0 else end
+            lines.append(data[at:end].rstrip(b"\r"))
+            places.append(start - 1 + at)
+            at = end + 1
+        for i in range(len(lines) - 3):
+            if lines[i][:1] == b"@" and lines[i + 2][:1] == b"+" and len(lines[i + 1]) == len(lines[i + 3]):
+                return places[i]
+        if whole:
+            return start - 1 + len(data)
+        size *= 4
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], split: int = 64 << 20) -> DataFrame:
     """``(name, title, seq, qual)`` of four-line records; qualities are the codes less 33.
 
-    Records are cut at a line break before ``@`` that a sequence line and a ``+`` line follow, so that a quality line beginning with ``@`` is
-    no record. A file is one task each, as its lines have no other marks: give many files.
+    A file is read in splits of ``split`` bytes, each by a task of its own, that begin at a record: a quality line beginning with ``@``
+    is told from one by what follows. A record whose quality is missing has an empty one.
     """
-    raw = spark.read.text(_paths(spark, path), wholetext=True)
-    found = F.regexp_extract_all("value", F.lit(r"(?m)^(@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*)"), 1)
-    line = lambda i: F.regexp_replace(F.split("r", "\n")[i], "\r", "")
-    rows = raw.select(F.explode(found).alias("r")).select(F.substring(line(0), 2, 1 << 20).alias("title"), line(1).alias("seq"), line(3).alias("q"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_paths(spark, path)).select("path", "length").where("length > 0")
+    splits = files.select("path", F.explode(F.expr(f"sequence(0L, length - 1, {split}L)")).alias("start")).select("path", "start", (F.col("start") + split).alias("end"))
+    rows = splits.repartition(F.col("path"), F.col("start")).mapInArrow(_fastq_splits, "title string, seq string, q string")
     qual = F.transform(F.filter(F.split("q", ""), lambda x: x != ""), lambda x: (F.ascii(x) - 33).cast("smallint"))
-    return rows.select(base_title("title").alias("name"), "title", "seq", qual.alias("qual"))
+    return rows.select(base_title(F.col("title")).alias("name"), "title", "seq", qual.alias("qual"))
 
 
 def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:

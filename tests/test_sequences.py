@@ -72,7 +72,7 @@ def test_alignment_modes_against_brute_force():
     for _ in range(60):
         q, t = ("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 12))) for _ in range(2))
         for mode in dp.MODES:
-            s = dp.Scores.named("smrt", insertion=4, deletion=5, open=rng.choice([0, 6]))
+            s = dp.Scores.named("long_read", insertion=4, deletion=5, open=rng.choice([0, 6]))
             got = dp.align(q, t, s, mode)
             assert got.score == brute_align(q, t, s, mode) == dp.rescore(q, t, got, s)
 
@@ -81,7 +81,7 @@ def test_bands_guides_and_sparse():
     rng = random.Random(4)
     q = "".join(rng.choice("ACGT") for _ in range(300))
     t = q[:100] + q[110:200] + "ACGTA" + q[200:]
-    s = dp.Scores.named("smrt", insertion=5, deletion=5)
+    s = dp.Scores.named("long_read", insertion=5, deletion=5)
     full = dp.align(q, t, s)
     assert dp.align(q, t, s, band=30).score == full.score == dp.align(q, t, s, band=8, guide=full.blocks()).score
     assert dp.sparse_align(q, t, s).score == full.score
