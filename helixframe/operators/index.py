@@ -29,62 +29,82 @@ def prefix_table(texts: DataFrame, text_id: str, seq: str, k: int) -> DataFrame:
 
 
 def _window_hashes(k: int):
-    """Two 61-bit-like hashes of every window of k letters, counted per batch; equal windows have equal hashes."""
+    """Kernel over (row, seq, places): the two hashes of the window of k letters at each place (null: at all), where all are A, C, G, T."""
     bases = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = []
-            for text in batch.column(0).to_pylist():
+            for row, text, places in zip(*(batch[c].to_pylist() for c in ("row", "seq", "places"))):
                 code = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
-                bad = np.append(0, np.cumsum(code > 3))
                 if len(code) < k:
                     continue
+                bad = np.append(0, np.cumsum(code > 3))
+                at = np.flatnonzero(bad[k:] == bad[:-k])
+                if places is not None:
+                    at = np.intersect1d(at, places)
                 pair = []
                 for base in bases:
-                    # Prefix sums of letter * base^i; a window's sum is brought to one exponent by its place's inverse power.
+                    # Prefix sums of mixed letter * base^i; a window's sum is brought to one exponent by its place's inverse power.
                     power = np.full(len(code), base, np.uint64)
                     power[0] = 1
                     power = np.multiply.accumulate(power)
-                    total = np.append(np.uint64(0), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * power))
-                    window = total[k:] - total[:-k]
-                    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-                    back = np.full(len(window), inverse, np.uint64)
-                    back[0] = 1
-                    pair.append(window * np.multiply.accumulate(back))
-                ok = bad[k:] == bad[:-k]
-                found.append(np.stack([p[ok] for p in pair]))
-            if found:
-                values, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values[0].view(np.int64)), pa.array(values[1].view(np.int64)), pa.array(n)], ["a", "b", "n"])
+                    total = np.append(np.uint64(0), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * base * power))
+                    inverse = np.full(len(code), np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
+                    inverse[0] = 1
+                    pair.append((total[at + k] - total[at]) * np.multiply.accumulate(inverse)[at])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row), pa.int64()), pa.array(at, pa.int32()), *(pa.array(p.view(np.int64)) for p in pair)], ["row", "at", "a", "b"])
 
     return kernel
 
 
-def longest_repeat(texts: DataFrame, seq: str, most: int = 1 << 14) -> tuple[int, int]:
+def longest_repeat(texts: DataFrame, seq: str) -> tuple[int, int]:
     """Length of the longest string of A, C, G, T that stands in two places, and how many strings of that length do; (0, 0) if none.
 
-    Repeats of length k imply repeats of every smaller length, so the length is found by bisection, each step one
-    count of window hashes (128 bits). ``most`` bounds the search.
+    Repeats of length k imply repeats of every smaller length in the same places, so the length is found by bisection, and each step
+    looks only at the places that repeated at the greatest length so far. A step compares 128-bit hashes; the strings found at
+    the end are compared letter by letter. Texts may be of any length; each is one row.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(texts.select(F.upper(seq).alias("seq")).where(F.length("seq") > 0).repartition(parts))
-
-    def found(k: int) -> DataFrame:
-        h = rows.mapInArrow(_window_hashes(k), "a long, b long, n long")
-        return h.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
-
-    def repeats(k: int) -> bool:
-        return found(k).limit(1).count() > 0
-
-    low, high = 0, 16
-    while high <= most and repeats(high):
-        low, high = high, high * 2
-    high = min(high, most + 1)
+    rows = texts.select(F.upper(seq).alias("seq")).where(F.length("seq") > 0).repartition(parts)
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "seq"))
+    longest = rows.agg(F.max(F.length("seq"))).first()[0] or 0
+    everywhere = rows.select("row", "seq", F.lit(None).cast("array<int>").alias("places"))
+
+    def repeated(k: int, within: DataFrame) -> DataFrame:
+        """(row, places) of the windows of k letters whose hash is met twice."""
+        seen = within.mapInArrow(_window_hashes(k), "row long, at int, a long, b long")
+        twice = seen.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+        return cut(seen.join(twice, ["a", "b"]).groupBy("row").agg(F.collect_list("at").alias("places")))
+
+    def true_repeats(k: int, places: DataFrame) -> int:
+        found = rows.join(places, "row").select("seq", F.explode("places").alias("at"))
+        return found.groupBy(F.substring("seq", F.col("at") + 1, F.lit(k)).alias("s")).count().where("count > 1").count()
+
+    low, high, at, within = 0, min(16, longest), None, everywhere
+    while high > low:
+        found = repeated(high, within)
+        if found.limit(1).count():
+            low, at, within = high, found, rows.join(found, "row").select("row", "seq", "places")
+            if low == longest:
+                break
+            high = min(2 * high, longest)
+        else:
+            break
     while high - low > 1:
         middle = (low + high) // 2
-        low, high = (middle, high) if repeats(middle) else (low, middle)
-    return low, found(low).count() if low else 0
+        found = repeated(middle, within)
+        if found.limit(1).count():
+            low, at, within = middle, found, rows.join(found, "row").select("row", "seq", "places")
+        else:
+            high = middle
+    while low:
+        n = true_repeats(low, at)
+        if n:
+            return low, n
+        low -= 1  # equal hashes of different strings, which isn't met in practice
+        at = repeated(low, everywhere) if low else at
+    return 0, 0
 
 
 def shared_word_components(texts: DataFrame, text_id: str, seq: str, k: int) -> DataFrame:

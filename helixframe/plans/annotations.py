@@ -38,7 +38,9 @@ def prefix_table(spark: S, d: str) -> DataFrame:
     return index.prefix_table(reads(spark, d), "read_id", "seq", 6).select(seq.decode_two_bit("kmer", 6).alias("kmer"), "n", "n_texts", "first_pos", "last_pos")
 
 
-@query()
+@query(f"""WITH {READS}, k AS {kmers_sql(16)}, h AS (SELECT a.read_id, a.pos, b.read_id AS other, b.pos - a.pos AS diagonal FROM k a JOIN k b ON a.kmer = b.kmer WHERE a.read_id < b.read_id OR (a.read_id = b.read_id AND a.pos < b.pos)),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY read_id, other, diagonal ORDER BY pos) AS run FROM h), m AS (SELECT read_id, min(pos) AS pos, max(pos) - min(pos) + 16 AS n FROM r GROUP BY read_id, other, diagonal, run)
+SELECT CAST(max(n) AS INTEGER) AS length, count(DISTINCT s) AS n_repeats FROM (SELECT n, substring(seq, CAST(pos AS BIGINT) + 1, CAST(n AS BIGINT)) AS s FROM m JOIN reads USING (read_id) WHERE n = (SELECT max(n) FROM m))""")
 def longest_repeat(spark: S, d: str) -> DataFrame:
     length, n = index.longest_repeat(reads(spark, d), "seq")
     return spark.range(1).select(F.lit(length).alias("length"), F.lit(n).cast("long").alias("n_repeats"))
