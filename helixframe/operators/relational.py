@@ -112,10 +112,16 @@ def drop_contained_intervals(df: DataFrame, keys: list[str], start: str, end: st
 
 
 def uncovered(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Gaps ``(keys, gap_start, gap_end)`` between the covered parts of each key."""
-    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    reach = df.where(F.col(start) < F.col(end)).withColumn("_reach", F.max(end).over(w))
-    return reach.where(F.col("_reach") < F.col(start)).select(*keys, F.col("_reach").alias("gap_start"), F.col(start).alias("gap_end"))
+    """Gaps ``(keys, gap_start, gap_end)`` between the covered parts of each key; nulls in the keys are equal.
+
+    By run bitmaps of shards of positions, so a hot key is many pieces; only the edges of shards meet in a window.
+    """
+    from helixframe.operators.run_bitmaps import periods_and_gaps
+
+    rows = df.select(F.to_json(F.struct(*keys)).alias("_k"), start, end)
+    gaps = periods_and_gaps(rows, "_k", start, end).where("kind = 'gap'")
+    parsed = F.from_json("_k", df.select(*keys).schema)
+    return gaps.select(parsed.alias("_p"), F.col("span_start").alias("gap_start"), F.col("span_end").alias("gap_end")).select(*(F.col(f"_p.{k}").alias(k) for k in keys), "gap_start", "gap_end")
 
 
 def compare_sets(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

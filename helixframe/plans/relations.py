@@ -10,6 +10,7 @@ from helixframe.operators import coverage, relational, seeds
 from helixframe.plans.data import ALIGNMENTS, READS, alignments, kmers_sql, reads
 from helixframe.plans.sequences import _CIGAR, _cigars
 from helixframe.session import table
+from helixframe.sources.scan import running_total
 
 QUERIES, SQL = {}, {}
 S = SparkSession
@@ -95,9 +96,8 @@ _OFFSETS = "c AS (SELECT ref_seq_id, ref_length, CAST(sum(ref_length + 1) OVER (
 
 
 def _offsets(spark: S, d: str) -> DataFrame:
-    w = Window.orderBy("ref_seq_id")
-    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length")
-    return r.withColumn("offset_pos", F.sum(F.col("ref_length") + 1).over(w) - F.col("ref_length") - 1)
+    r = table(spark, d, "ref_info").select("ref_seq_id", "ref_length", (F.col("ref_length") + 1).alias("step"))
+    return running_total(r, "ref_seq_id", "step", "upto").select("ref_seq_id", "ref_length", (F.col("upto") - F.col("step")).alias("offset_pos"))
 
 
 @query(f"WITH {_OFFSETS} SELECT * FROM c")
@@ -190,19 +190,17 @@ _DNA = lambda k: f"translate(md5(CAST({k} AS VARCHAR)), '0123456789abcdef', 'ACG
 @query(f"""WITH {READS}, p AS (SELECT p_partkey, substring({_DNA('p_partkey')}, 1, 8) AS probe FROM part WHERE p_partkey % 100 = 0), x AS (SELECT read_id, CAST(i AS INTEGER) AS pos, substring(seq, CAST(i AS BIGINT) + 1, 8) AS w FROM (SELECT read_id, seq, unnest(range(length(seq) - 7)) AS i FROM reads))
 SELECT p_partkey, read_id, pos, CAST(hamming(probe, w) AS INTEGER) AS mismatches FROM p, x WHERE hamming(probe, w) <= 1""")
 def hamming_scan(spark: S, d: str) -> DataFrame:
-    """Places of short probes in all reads with one mismatch or none: each half of a probe is an exact seed, so there is no theta join."""
-    from helixframe.functions.kmer_codes import kmer_table
+    """Places of short probes in all reads with one mismatch or none.
 
+    A probe stands for itself and all words one letter from it, N among them, so the join is an exact one on whole words and every
+    match is met once: no theta join, and no key shorter than a probe.
+    """
     probes = table(spark, d, "part").where("p_partkey % 100 = 0").select("p_partkey", F.substring(seq.dna_from_key("p_partkey"), 1, 8).alias("probe"))
-    half = lambda s, n: F.substring(s, 1 + 4 * n, 4)
-    windows = _windows8(kmer_table(reads(spark, d), "read_id", "seq", 8), reads(spark, d))
-    seeds_of = lambda df, s: df.withColumn("x", F.explode(F.array(*(F.struct(F.lit(n).alias("half"), half(s, n).alias("word")) for n in (0, 1))))).select("*", "x.*").drop("x")
-    hits = seeds_of(windows, "w").join(seeds_of(probes, "probe"), ["half", "word"]).withColumn("mismatches", seq.hamming("probe", "w")).where("mismatches <= 1")
-    return hits.select("p_partkey", "read_id", "pos", "mismatches").distinct()
-
-
-def _windows8(_: DataFrame, r: DataFrame) -> DataFrame:
-    return r.where("length(seq) >= 8").select("read_id", "seq", F.explode(F.expr("sequence(0, length(seq) - 8)")).alias("pos")).select("read_id", "pos", F.expr("substring(seq, pos + 1, 8)").alias("w"))
+    letters = F.array(*(F.lit(x) for x in "ACGTN"))
+    near = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.transform(letters, lambda x: F.concat(F.substring("probe", F.lit(1), i - 1), x, F.substring("probe", i + 1, F.lit(8))))))
+    words = probes.select("p_partkey", "probe", F.explode(F.array_distinct(near)).alias("w"))
+    windows = reads(spark, d).where("length(seq) >= 8").select("read_id", "seq", F.explode(F.expr("sequence(0, length(seq) - 8)")).alias("pos")).select("read_id", "pos", F.expr("substring(seq, pos + 1, 8)").alias("w"))
+    return windows.join(words, "w").select("p_partkey", "read_id", "pos", seq.hamming("probe", "w").alias("mismatches"))
 
 
 # coverage

@@ -9,6 +9,7 @@ from helixframe.functions import cigar, seq
 from helixframe.functions.kmer_codes import kmer_counts, kmer_table
 from helixframe.plans.data import ALIGNMENTS, READS, alignments, kmers_sql, reads
 from helixframe.session import table
+from helixframe.sources.scan import numbered_within
 
 QUERIES, SQL = {}, {}
 
@@ -269,8 +270,7 @@ def unique_positions(spark: S, d: str) -> DataFrame:
 @query(f"WITH {READS}, k AS {kmers_sql(10)} SELECT kmer, read_id, pos, row_number() OVER (PARTITION BY kmer ORDER BY read_id, pos) AS nth FROM k")
 def kmer_positions(spark: S, d: str) -> DataFrame:
     k = kmer_table(reads(spark, d), "read_id", "seq", 10)
-    nth = F.row_number().over(Window.partitionBy("kmer").orderBy("read_id", "pos")).cast("long")
-    return k.withColumn("nth", nth).select(seq.decode_two_bit("kmer", 10).alias("kmer"), "read_id", "pos", "nth")
+    return numbered_within(k, "kmer", ["read_id", "pos"], "nth").select(seq.decode_two_bit("kmer", 10).alias("kmer"), "read_id", "pos", "nth")
 
 
 @query(f"WITH {READS}, " + ", ".join(f"k{k} AS {kmers_sql(k)}" for k in (4, 6, 8)) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, n AS multiplicity, count(*) AS n_kmers FROM (SELECT count(*) AS n FROM k{k} GROUP BY kmer) GROUP BY n" for k in (4, 6, 8)))
