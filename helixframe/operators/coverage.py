@@ -97,3 +97,29 @@ def call_variants(profile: DataFrame, key: str, pos: str, reference: str, before
     w = Window.partitionBy(key).orderBy(pos).rowsBetween(-before, after)
     rows = profile.withColumn("mean_coverage", F.round(F.avg("coverage").over(w), 6)).where(F.col("consensus") != F.col(reference))
     return rows.select(key, pos, F.when(F.col("consensus") == "-", "deletion").otherwise("snv").alias("kind"), F.col(reference).alias("ref"), F.col("consensus").alias("alt"), "support", "mean_coverage")
+
+
+def insertion_calls(placed: DataFrame, spans: DataFrame, key: str, row_id: str, start: str, end: str, least: int, share: float, width: int = 1024) -> DataFrame:
+    """Places where reads insert bases: ``(key, t_from, length, n_ins, coverage)``.
+
+    ``n_ins`` alignments insert before ``t_from``, most often ``length`` letters (of equals the shorter); ``coverage`` is the number of
+    ``spans`` (key, row_id, start, end) over the place, their ends not counted. Called are places with ``least`` or more insertions
+    and at least ``share`` of the coverage. Insertions are counted before they meet the spans.
+    """
+    lengths = placed.where((F.col("op") == "I") & (F.col("len") > 0)).groupBy(key, "t_from", "len").agg(F.count("*").alias("_n"))
+    sites = lengths.groupBy(key, "t_from").agg(F.sum("_n").alias("n_ins"), F.max_by("len", F.struct("_n", -F.col("len"))).alias("length")).where(F.col("n_ins") >= least)
+    sites = sites.withColumn("_bin", F.expr(f"t_from div {width}"))
+    over = with_bins(spans.select(key, row_id, F.col(start).alias("_s"), F.col(end).alias("_e")), "_s", "_e", width)
+    met = sites.join(over, [key, "_bin"]).where((F.col("_s") < F.col("t_from")) & (F.col("t_from") < F.col("_e")))
+    found = met.groupBy(key, "t_from", "length", "n_ins").agg(F.count("*").alias("coverage"))
+    return found.where(F.col("n_ins") >= share * F.col("coverage"))
+
+
+def msa_columns(columns: DataFrame, keys: list[str], pos: str, row: str, base: str, block: int = 1000) -> DataFrame:
+    """Columns of a multiple alignment as text: ``(keys, pos, block, bases, depth)``, a letter for each row in the rows' order.
+
+    Rows are taken ``block`` at a time by their whole-number id, so a deep column is several rows of the result.
+    """
+    at = columns.withColumn("block", F.expr(f"`{row}` div {block}"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(base).alias("b"))))
+    return at.groupBy(*keys, pos, "block").agg(F.array_join(F.transform(rows, lambda x: x["b"]), "").alias("bases"), F.count("*").alias("depth"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import dp, seq
 from helixframe.operators import mapping, seeds, simulate
-from helixframe.plans.data import reads
+from helixframe.plans.data import READS, reads
 from helixframe.plans.relations import _mems
 from helixframe.session import table
 from helixframe.sources import formats
@@ -49,6 +53,7 @@ QUERIES |= {
     "align_sdp": _aligned(method="sparse"),
     "align_one_gap": _aligned(method="one_gap"),
     "extend_xdrop": _aligned(method="extend"),
+    "extend_xdrop_back": _aligned(method="extend_back"),
 }
 
 
@@ -117,7 +122,120 @@ def map_reads_e2e(spark: S, d: str) -> DataFrame:
 
 @query
 def unaligned_reads(spark: S, d: str) -> DataFrame:
-    return mapping.unaligned(_simulated(spark, d), _mapped(spark, d))
+    """Reads without a hit of 96 % or more."""
+    return mapping.unaligned(_simulated(spark, d), _mapped(spark, d).where("pct_similarity >= 96"))
+
+
+@query
+def map_reads_retry(spark: S, d: str) -> DataFrame:
+    """Reads without a good hit are mapped again with shorter seeds."""
+    contigs = reads(spark, d).select(F.col("read_id").alias("contig_id"), "seq")
+    return mapping.map_with_retry(_simulated(spark, d), contigs, PARAMS, replace(PARAMS, k=11, max_hits=200), 96.0)
+
+
+@query
+def align_quality(spark: S, d: str) -> DataFrame:
+    """Each read against a copy with errors, every letter's score multiplied by its quality value."""
+    r = reads(spark, d).where("size(qual) = length(seq)").select("read_id", F.col("seq").alias("query"), "qual")
+    changed = simulate.mutate(reads(spark, d), "read_id", "seq", 0.02, 0.02, 0.01, seed=5).select("read_id", F.col("seq").alias("target"))
+    scores = dp.Scores.named("qv", insertion=20, deletion=20)
+    return mapping.align_pairs(r.join(changed, "read_id"), scores, "global", 40, quality="qual").drop("query", "target", "qual")
+
+
+def _per_pair(kernel, schema: str):
+    """Anchors of each (query, target) pair, in order, handed to a kernel over their arrays q, t, length."""
+
+    def f(spark: S, d: str) -> DataFrame:
+        grouped = _mems(spark, d).groupBy("q_id", "t_id").agg(F.array_sort(F.collect_list(F.struct("q", "t", "length"))).alias("a"))
+
+        def run(it):
+            for batch in it:
+                rows = [kernel(*(np.array([x[c] for x in a], np.int64) for c in ("q", "t", "length"))) for a in batch["a"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["q_id"], batch["t_id"], *(pa.array(c, pa.int32()) for c in zip(*rows))], ["q_id", "t_id", *schema.split()])
+
+        return grouped.mapInArrow(run, "q_id bigint, t_id bigint, " + ", ".join(f"{c} int" for c in schema.split()))
+
+    return f
+
+
+def _increasing(q, t, length) -> tuple[int, int]:
+    """Anchors whose target places rise with the query's, as many as can be; their bases."""
+    kept = dp.longest_increasing(t.tolist())
+    return len(kept), int(length[kept].sum()) if len(kept) else 0
+
+
+def _coarse(q, t, length) -> tuple[int, int]:
+    """Anchors that a path of 64-letter cells keeps; their bases."""
+    kept = np.asarray(dp.coarse_chain(q, t, 64), bool)
+    return int(kept.sum()), int(length[kept].sum())
+
+
+QUERIES |= {"lis_anchors": _per_pair(_increasing, "n_anchors bases"), "coarse_chain": _per_pair(_coarse, "n_anchors bases")}
+
+
+def _three(spark: S, d: str) -> DataFrame:
+    """Each supplier's three derived sequences of ten letters."""
+    part = lambda n: F.substring(seq.dna_from_key(F.col("s_suppkey") + n), 1, 10).alias(f"s{n}")
+    return table(spark, d, "supplier").select("s_suppkey", part(0), part(1), part(2))
+
+
+@query
+def align_three_way(spark: S, d: str) -> DataFrame:
+    scores = dp.Scores.named("edit", deletion=1)
+
+    def run(it):
+        for batch in it:
+            found = [dp.three_way(*x, scores) for x in zip(*(batch[f"s{n}"].to_pylist() for n in range(3)))]
+            yield pa.RecordBatch.from_arrays([batch["s_suppkey"], pa.array(found, pa.int32())], ["s_suppkey", "score"])
+
+    rows = _three(spark, d)
+    return rows.mapInArrow(run, f"s_suppkey {rows.schema['s_suppkey'].dataType.simpleString()}, score int")
+
+
+@query
+def align_all_paths(spark: S, d: str) -> DataFrame:
+    """log10 of the summed probability of all alignments of two sequences, at quality 12."""
+
+    def run(it):
+        for batch in it:
+            found = [round(dp.forward_probability(a, np.full(len(a), 12), b), 6) for a, b in zip(batch["s0"].to_pylist(), batch["s1"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["s_suppkey"], pa.array(found, pa.float64())], ["s_suppkey", "log_p"])
+
+    rows = _three(spark, d)
+    return rows.mapInArrow(run, f"s_suppkey {rows.schema['s_suppkey'].dataType.simpleString()}, log_p double")
+
+
+def _records(spark: S, d: str) -> DataFrame:
+    """Each read of more than 40 letters, placed on itself without its first five and last seven; every second one turned."""
+    r = reads(spark, d).where("length(seq) > 40 and read_name is not null")
+    n = F.length("seq")
+    merge = table(spark, d, "bas_reads").where("read_id is not null and length(basecall) > 0").dropDuplicates(["read_id"]).select("read_id", "merge_qv")
+    return r.join(merge, "read_id").select(
+        F.col("read_name").alias("q_name"), F.lit("ref").alias("t_name"), "seq", "qual", "merge_qv", n.alias("q_length"), F.lit(5).alias("q_start"), (n - 7).alias("q_end"), F.lit(10).alias("t_start"), (n - 2).alias("t_end"),
+        (F.col("read_id") % 2).alias("strand"), F.lit(True).alias("is_primary"), F.concat((n - 12).cast("string"), F.lit("=")).alias("cigar"), (-5 * (n - 12)).alias("score"), F.lit(254).alias("map_qv"),
+        *(F.lit(0).alias(c) for c in ("n_mismatch", "n_ins", "n_del")), F.concat(F.lit("rq:f:"), F.round("rq", 2).cast("string")).alias("rq_tag"),
+    )
+
+
+_LETTERS = "array_to_string(list_transform({}, lambda x: chr(greatest(least(coalesce(x, 0), 93), 0) + 33)), '')"
+
+
+def _sam_sql(clipping: str) -> str:
+    """The same records; what is soft-clipped keeps all bases."""
+    first, last = ("1", "n") if clipping == "soft" else ("6", "n - 7")
+    cut_out = lambda x: f"array_slice({x}, {first}, {last})"
+    turned = lambda c: f"CASE WHEN len({c}) = n THEN {_LETTERS.format(cut_out(f'CASE WHEN strand = 1 THEN list_reverse({c}) ELSE {c} END'))} END"
+    bases = f"array_to_string({cut_out('string_split(CASE WHEN strand = 1 THEN translate(reverse(seq), {a}, {b}) ELSE seq END, {e})'.format(a=chr(39) + 'ACGT' + chr(39), b=chr(39) + 'TGCA' + chr(39), e=chr(39) * 2))}, '')"
+    cigar = {"soft": "'5S' || (n - 12) || '=7S'", "hard": "'5H' || (n - 12) || '=7H'"}.get(clipping, "(n - 12) || '='")
+    return f"""WITH {READS}, m AS (SELECT read_id, any_value(merge_qv) AS merge_qv FROM bas_reads WHERE read_id IS NOT NULL AND length(basecall) > 0 GROUP BY read_id),
+r AS (SELECT reads.*, merge_qv, length(seq) AS n, read_id % 2 AS strand FROM reads JOIN m USING (read_id) WHERE length(seq) > 40 AND read_name IS NOT NULL)
+SELECT concat_ws('\t', read_name, CASE WHEN strand = 1 THEN '16' ELSE '0' END, 'ref', '11', '254', {cigar}, '*', '0', n - 12, {bases}, coalesce({turned('qual')}, '*'),
+  'RG:Z:' || substring(md5(split_part(read_name, '/', 1)), 1, 10), 'AS:i:' || (-5 * (n - 12)), 'XS:i:6', 'XE:i:' || (n - 6), 'XL:i:' || (n - 12), 'NM:i:0', 'XT:i:1', 'mq:Z:' || {turned('merge_qv')}) AS line FROM r"""
+
+
+for _how in ("soft", "hard", "subread"):
+    QUERIES[f"sam_qualities_{_how}"] = lambda spark, d, how=_how: formats.sam_body(_records(spark, d), how, "qual", {"mq": "merge_qv"})
+    SQL[f"sam_qualities_{_how}"] = _sam_sql(_how)
 
 
 def _named(spark: S, d: str) -> DataFrame:

@@ -262,6 +262,21 @@ def snv_calls(spark: S, d: str) -> DataFrame:
     return coverage.call_variants(coverage.column_profile(_columns(spark, d), ["k", "pos", "ref"], "base"), "k", "pos", "ref")
 
 
+@query(f"""{_PLACED}, i AS (SELECT ref_seq_id, f, len, count(*) AS n FROM o WHERE op = 'I' GROUP BY ALL), s AS (SELECT ref_seq_id, f, CAST(sum(n) AS BIGINT) AS n_ins, first(len ORDER BY n DESC, len) AS length FROM i GROUP BY ALL HAVING sum(n) >= 1),
+e AS (SELECT ref_seq_id, s, s + a + b + dl + c AS e FROM v)
+SELECT s.ref_seq_id, s.f AS t_from, CAST(s.length AS INTEGER) AS length, s.n_ins, count(*) AS coverage FROM s JOIN e ON s.ref_seq_id = e.ref_seq_id AND e.s < s.f AND s.f < e.e GROUP BY ALL HAVING s.n_ins >= 0.25 * count(*)""")
+def insertion_calls(spark: S, d: str) -> DataFrame:
+    placed = _placed(spark, d)
+    spans = placed.groupBy("ref_seq_id", "aln_id").agg(F.min("t_from").alias("s"), F.max(F.col("t_from") + F.when(F.col("op") == "I", 0).otherwise(F.col("len"))).alias("e"))
+    return coverage.insertion_calls(placed, spans, "ref_seq_id", "aln_id", "s", "e", 1, 0.25)
+
+
+@query(f"SELECT k, pos, CAST(p_partkey // 1000 AS BIGINT) AS block, string_agg(base, '' ORDER BY p_partkey) AS bases, count(*) AS depth FROM ({_COLS.replace('c AS (SELECT', 'SELECT p_partkey,', 1)[:-1]}) GROUP BY ALL")
+def msa_columns(spark: S, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("k"), seq.dna_from_key(F.col("p_partkey") % 3).alias("a"), F.explode(F.sequence(F.lit(1), F.lit(32))).alias("pos"))
+    return coverage.msa_columns(p.select("p_partkey", "k", "pos", F.expr("substring(a, pos, 1)").alias("base")), ["k"], "pos", "p_partkey", "base")
+
+
 @query(f"WITH {ALIGNMENTS} SELECT ref_seq_id, t_start // 10000 AS bin, count(*) AS n, round(avg(map_qv), 6) AS mean_qv FROM alns WHERE map_qv IS NOT NULL GROUP BY ALL")
 def mapqv_track(spark: S, d: str) -> DataFrame:
     a = alignments(spark, d).where("map_qv is not null")

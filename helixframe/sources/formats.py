@@ -80,17 +80,38 @@ def m2_xml(df: DataFrame) -> DataFrame:
     return df.select(F.concat(head, F.lit("<query>"), "q_string", F.lit("</query><target>"), "t_string", F.lit("</target></hit>")).alias("line"))
 
 
-def sam_body(df: DataFrame, clipping: str = "soft") -> DataFrame:
-    """``line``: aligned records. Needs ``seq`` (forward read); quality strings are left out. Clips none, soft or hard."""
+def quality_string(values: Column) -> Column:
+    """Quality values as letters, code plus 33; a null or negative value counts as 0, one above 93 as 93."""
+    return F.array_join(F.transform(values, lambda x: F.char(F.greatest(F.least(F.coalesce(x, F.lit(0)), F.lit(93)), F.lit(0)) + 33)), "")
+
+
+def sam_body(df: DataFrame, clipping: str = "soft", qual: str | None = None, qv_tags: dict[str, str] | None = None, passed: list[str] | None = None) -> DataFrame:
+    """``line``: aligned records. Needs ``seq`` (forward read). Clips none, soft, hard or subread.
+
+    ``qual`` names an array column of quality values of the forward read, which becomes QUAL (``*`` without it, or where it isn't as long
+    as the read); ``qv_tags`` maps two-letter tags to further such columns; both are turned and cut like the bases. ``passed``
+    names columns with whole tags that are put at the end. ``subread``: the record's bases are the aligned ones, the CIGAR has
+    no clips, and XS and XE are places in the whole read.
+    """
     left, right = F.col("q_start"), F.col("q_length") - F.col("q_end")
-    bases = F.when(F.col("strand") == 1, reverse_complement("seq")).otherwise(F.upper("seq"))
-    if clipping != "soft":
+    back, inside = F.col("strand") == 1, clipping != "soft"
+    bases = F.when(back, reverse_complement("seq")).otherwise(F.upper("seq"))
+    if inside:
         bases = F.substring(bases, F.col("q_start") + 1, F.col("q_end") - F.col("q_start"))
-    flag = F.when(F.col("strand") == 1, cg.FLAGS["reverse"]).otherwise(0) + F.when(F.col("is_primary"), 0).otherwise(cg.FLAGS["secondary"])
+
+    def qualities(column: str) -> Column:
+        known = F.size(column) == F.length("seq")
+        turned = F.when(back, F.reverse(F.col(column))).otherwise(F.col(column))
+        if inside:
+            turned = F.slice(turned, F.col("q_start") + 1, F.col("q_end") - F.col("q_start"))
+        return F.when(known, quality_string(turned))
+
+    flag = F.when(back, cg.FLAGS["reverse"]).otherwise(0) + F.when(F.col("is_primary"), 0).otherwise(cg.FLAGS["secondary"])
     tags = [F.concat(F.lit("RG:Z:"), read_group_id(F.substring_index("q_name", "/", 1))), F.concat(F.lit("AS:i:"), _s("score")), F.concat(F.lit("XS:i:"), _s(F.col("q_start") + 1)), F.concat(F.lit("XE:i:"), _s(F.col("q_end") + 1)), F.concat(F.lit("XL:i:"), _s(F.col("q_end") - F.col("q_start"))), F.concat(F.lit("NM:i:"), _s(F.col("n_mismatch") + F.col("n_ins") + F.col("n_del"))), F.lit("XT:i:1")]
-    return df.select(
-        F.concat_ws("\t", "q_name", _s(flag), "t_name", _s(F.col("t_start") + 1), _s("map_qv"), cg.clip(F.col("cigar"), left, right, clipping), F.lit("*"), F.lit("0"), _s(F.col("t_end") - F.col("t_start")), bases, F.lit("*"), *tags).alias("line")
-    )
+    tags += [F.concat(F.lit(f"{tag}:Z:"), qualities(c)) for tag, c in (qv_tags or {}).items()] + [F.col(c) for c in passed or []]
+    quality = F.coalesce(qualities(qual), F.lit("*")) if qual else F.lit("*")
+    clipped = cg.clip(F.col("cigar"), left, right, "none" if clipping == "subread" else clipping)
+    return df.select(F.concat_ws("\t", "q_name", _s(flag), "t_name", _s(F.col("t_start") + 1), _s("map_qv"), clipped, F.lit("*"), F.lit("0"), _s(F.col("t_end") - F.col("t_start")), bases, quality, *tags).alias("line"))
 
 
 def sam_unaligned(reads: DataFrame) -> DataFrame:
