@@ -198,7 +198,8 @@ def with_windows(found: DataFrame, contigs: DataFrame, tile: int) -> DataFrame:
     rows = found.withColumn("_row", F.concat_ws(":", *(c for c in ("q_id", "t_id", "part", "_lo", "_hi"))))
     touched = rows.select("_row", "t_id", "_lo", "_hi", F.explode(F.expr(f"sequence(_lo div {tile}, greatest(_hi - 1, _lo) div {tile})")).alias("_tile"))
     cut_out = F.expr(f"substring(_letters, greatest(_lo - _tile * {tile}, 0) + 1, least(_hi - _tile * {tile}, {tile}) - greatest(_lo - _tile * {tile}, 0))")
-    parts = touched.join(tiles, ["t_id", "_tile"]).select("_row", F.struct("_tile", cut_out.alias("s")).alias("x"))
+    # An empty window at a contig's end lies beyond the last tile.
+    parts = touched.join(tiles, ["t_id", "_tile"], "left").select("_row", F.struct("_tile", F.coalesce(cut_out, F.lit("")).alias("s")).alias("x"))
     whole = parts.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "").alias("target"))
     return rows.join(whole, "_row").drop("_row")
 

@@ -77,3 +77,24 @@ def test_streams(spark, tmp_path):
     reads = spark.createDataFrame([(1, "ACGTACGTAA"), (2, None)], "read_id long, seq string")
     contigs = spark.createDataFrame([(7, "GGACGTACGT"), (8, "CCCCCCCC")], "contig_id long, seq string")
     assert rows_of(events.stream_seed_counts(reads, contigs, 8)) == [(1, 7, 1)]
+
+
+def test_fastq_in_splits(spark, tmp_path):
+    """Records are found at any split, also with qualities that begin with @ or +, titles on the + line and no end of line."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        n = rng.choice([1, 3, 60])
+        rows.append((f"r{i}", "".join(rng.choice("ACGT") for _ in range(n)), rng.choice("@+!") + "".join(chr(33 + rng.randrange(90)) for _ in range(n - 1))))
+    text = "".join(f"@{t}\n{s}\n+{t if i % 3 else ''}\n{q}\n" for i, (t, s, q) in enumerate(rows))
+    (tmp_path / "a.fastq").write_text(text.rstrip("\n"))
+    (tmp_path / "b.fastq").write_text(text.replace("\n", "\r\n").replace("@r", "@s"))
+    expected = sorted((t, s, [ord(x) - 33 for x in q]) for t, s, q in rows)
+    for split in (97, 1000, 1 << 26):
+        got = sorted((r.title, r.seq, list(r.qual)) for r in readers.read_fastq(spark, str(tmp_path / "a.fastq"), split).collect())
+        assert got == expected
+    assert readers.read_fastq(spark, [str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq")], 500).count() == 600
+    (tmp_path / "c.fastq").write_text("")
+    assert readers.read_fastq(spark, str(tmp_path / "c.fastq")).count() == 0

@@ -1,15 +1,21 @@
-"""A choice of named queries against their SQL on the smallest test data; skipped where the data aren't there."""
+"""All named queries with SQL against their SQL on the smallest test data; skipped where the data aren't there."""
 
 import glob
+import importlib
 import os
 
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-NAMES = [
-    "p1_found", "p2_found", "p6_found", "kmer_count_canonical", "tabulate_pairs_cube", "cigar_to_blocks", "seed_join_dna", "contig_asof_lookup", "exon_best_overlap",
-    "contained_alignments", "coverage_sweep", "snv_calls", "hit_policy_allbest", "simple_paths", "event_session", "load_pulses",
-]
+
+
+def _names():
+    import __spark_entry__ as entry
+
+    return sorted({name for module in entry.PLANS for name in importlib.import_module(module).SQL})
+
+
+NAMES = _names()
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")

@@ -92,6 +92,47 @@ def test_bands_guides_and_sparse():
     assert dp.forward_probability("ACGT", np.array([30] * 4), "ACGT") > dp.forward_probability("ACGT", np.array([30] * 4), "AGGT")
 
 
+def test_extend_back_mirrors_extend():
+    rng = random.Random(14)
+    q = "".join(rng.choice("ACGT") for _ in range(200))
+    t = "T" * 40 + q[60:]
+    s = dp.Scores.named("long_read", insertion=5, deletion=5)
+    a = dp.extend_back(q, t, s)
+    assert (a.q_end, a.t_end) == (200, 180) and 50 <= a.q_start <= 70 and dp.rescore(q, t, a, s) == a.score
+    assert dp.extend_back("", "ACG", s).q_end == 0
+
+
+def test_quality_multiplies_scores():
+    s = dp.Scores.named("qv", insertion=20, deletion=20)
+    one = lambda q, t, v: dp.align_many([q], [t], s, qualities=[v])[0]
+    assert one("ACGT", "ACGT", [1, 2, 3, 4]).score == -10 and one("ACGT", "ACTT", [1, 2, 3, 4]).score == -4
+    assert one("ACGT", "ACGT", [1, None, 3]).score == -5 and one("ACGT", "ACGT", None).score == -4
+    # A gap pays where the letters that don't fit are good, not where they are bad.
+    assert one("ACGTACGT", "ACGACGT", [30] * 8).cigar() == "3=1I4=" and "I" in one("ACGTACGT", "ACGACGT", [9] * 8).cigar()
+
+
+def test_bands_hold_the_band_only():
+    rng = random.Random(5)
+    mutated = lambda x: "".join(rng.choice(["", c + rng.choice("ACGT"), rng.choice("ACGT")]) if rng.random() < 0.06 else c for c in x)
+    for _ in range(40):
+        q = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 40)))
+        t = mutated(q)
+        for mode in dp.MODES:
+            for s in (dp.Scores.named("long_read", insertion=1, deletion=1, open=10), dp.Scores.named("long_read", insertion=4, deletion=4, long_open=20)):
+                full, wide, slim = dp.align(q, t, s, mode), dp.align(q, t, s, mode, band=90), dp.align(q, t, s, mode, band=3)
+                assert (full.score, full.cigar()) == (wide.score, wide.cigar())
+                assert slim is None or slim.score >= full.score and dp.rescore(q, t, slim, s) == slim.score
+    import tracemalloc
+
+    q = "".join(rng.choice("ACGT") for _ in range(6000))
+    t = mutated(q)
+    tracemalloc.start()
+    found = dp.align(q, t, dp.Scores.named("long_read", insertion=1, deletion=1, open=10), "local", band=150)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.stats()["n_match"] > 5000 and peak < 40e6  # the whole matrix would take 180 MB
+
+
 def test_chain_and_lis():
     rng = random.Random(6)
     for _ in range(40):
