@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +51,14 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 def _pack(n_groups: int, fields: list[str]):
     def pieces(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        keys = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns[:n_groups]], [f"g{i}" for i in range(n_groups)]) if n_groups else None
-        if keys is not None:
-            group = t.select(list(range(n_groups))).group_by(t.column_names[:n_groups], use_threads=False).aggregate([]).to_pylist()
-            number = {tuple(g.values()): i for i, g in enumerate(group)}
-            columns = [c.to_pylist() for c in t.columns[:n_groups]]
-            of = np.fromiter((number[k] for k in zip(*columns)), np.int64, t.num_rows)
-            names = list(number)
-        else:
-            of, names = np.zeros(t.num_rows, np.int64), [()]
+        # A number for each different group: columns as numbers of their values (0 for null), put together one by one.
+        of = np.zeros(t.num_rows, np.int64)
+        for c in t.columns[:n_groups]:
+            codes = pa.compute.dictionary_encode(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
+            number = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            of = np.unique(of * (len(codes.dictionary) + 1) + number, return_inverse=True)[1]
+        row_of = np.zeros(int(of.max(initial=0)) + 1, np.int64)
+        row_of[of] = np.arange(t.num_rows)  # a row of each group
         for i, field in enumerate(fields):
             column = t.column(n_groups + i)
             v = column.to_numpy(zero_copy_only=False).astype(np.float64)  # a null comes as NaN
@@ -72,7 +72,7 @@ def _pack(n_groups: int, fields: list[str]):
             count, code, g = np.diff(np.append(head, len(code))), code[head], g[head]
             ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
             which = g[ends - 1]
-            keys_of = [pa.array([names[w][k] for w in which], t.schema.field(k).type) for k in range(n_groups)]
+            keys_of = [t.column(k).combine_chunks().take(pa.array(row_of[which])) for k in range(n_groups)]
             yield pa.RecordBatch.from_arrays(
                 [*keys_of, pa.array([field] * len(which)), _lists(code, ends), _lists(count.astype(np.int64), ends)], [*t.column_names[:n_groups], "field", "codes", "counts"]
             )

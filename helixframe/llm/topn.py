@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from helixframe.session import cut
 
 #: Filled groups are broadcast up to this number (keys of some 20 bytes each); beyond it the anti-join follows the rank filter, on its partitioning.
-BROADCAST_FILLED = 200_000
+BROADCAST_FILLED = 50_000
 
 
 def band_edges(df: DataFrame, score: str, shares: tuple[float, ...] = (0.25, 0.5)) -> list[float]:
