@@ -30,7 +30,7 @@ PACK_ROWS = 2_000_000
 #: Groups selected at a time; the driver holds their ranges (some 50 bytes a rank), the tasks read them.
 BLOCK_GROUPS = 50_000
 #: Ranges for which a task gathers its counts and proposals before it passes them on.
-HELD_RANGES = 50_000
+HELD_RANGES = 500_000
 _LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
@@ -115,52 +115,70 @@ def merge(*summaries: DataFrame, groups: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (s.select(*groups, "field", "codes", "counts") for s in summaries))
 
 
-def _middle(values: list[int], weights: list[int]) -> tuple[int, int]:
-    """Weighted median (the lower one) and the sum of the weights."""
-    order = np.argsort(np.array(values, np.int64), kind="stable")
-    w = np.cumsum(np.array(weights, np.int64)[order])
-    return values[order[int(np.searchsorted(w * 2, w[-1]))]], int(w[-1])
+def _search(flat: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
+    """Of many searches at once, each in its own sorted stretch of ``flat``: the first place whose value is above x (or, not ``right``, at it)."""
+    lo, hi = start.copy(), end.copy()
+    while True:
+        busy = np.flatnonzero(lo < hi)
+        if not len(busy):
+            return lo
+        mid = (lo[busy] + hi[busy]) // 2
+        before = flat[mid] <= x[busy] if right else flat[mid] < x[busy]
+        lo[busy[before]] = mid[before] + 1
+        hi[busy[~before]] = mid[~before]
+
+
+def _medians(t: np.ndarray, m: np.ndarray, k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted median (the lower one) of each target's proposals and the sum of their weights; the median is 0 where there are none."""
+    order = np.lexsort((m, t))
+    t, m, k = t[order], m[order], k[order]
+    total = np.bincount(t, k, n).astype(np.int64)
+    upto = np.cumsum(k) - (np.cumsum(total) - total)[t]  # within the target
+    first = np.flatnonzero((upto * 2 >= total[t]) & ((upto - k) * 2 < total[t]))
+    found = np.zeros(n, np.int64)
+    found[t[first]] = m[first]
+    return found, total
 
 
 def _count_and_propose(targets_of: dict[str, list[int]], low: np.ndarray, high: np.ndarray, pivot: np.ndarray):
     """Kernel over pieces: per target the counts below, at and above its pivot and this task's proposals for both sides."""
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            rows = []
-            for t, (less, equal, more, ml, kl, mr, kr) in held.items():
-                rows.append((t, less, equal, more, *(_middle(ml, kl) if ml else (None, 0)), *(_middle(mr, kr) if mr else (None, 0))))
+            rows = np.concatenate(held, axis=1)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["t", "less", "equal", "more", "ml", "kl", "mr", "kr"])
+            ts, of = np.unique(rows[0], return_inverse=True)
+            n = len(ts)
+            sums = []
+            for c in rows[1:4]:
+                total = np.zeros(n, np.int64)
+                np.add.at(total, of, c)
+                sums.append(total)
+            left, right = rows[5] > 0, rows[7] > 0
+            ml, kl = _medians(of[left], rows[4][left], rows[5][left], n)
+            mr, kr = _medians(of[right], rows[6][right], rows[7][right], n)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (ts, *sums, ml, kl, mr, kr)], ["t", "less", "equal", "more", "ml", "kl", "mr", "kr"])
 
         for batch in it:
             codes, counts = batch["codes"], batch["counts"]
-            at, flat, times = codes.offsets.to_numpy(), codes.values.to_numpy(), counts.values.to_numpy()
-            for i, ids in enumerate(batch["ids"].to_pylist()):
-                aimed = [t for g in ids for t in targets_of.get(g, ())]
-                if not aimed:
-                    continue
-                v = flat[at[i] : at[i + 1]]
-                upto = np.append(0, np.cumsum(times[at[i] : at[i + 1]]))
-                p = pivot[aimed]
-                a, b = np.searchsorted(v, low[aimed], side="right"), np.searchsorted(v, high[aimed], side="left")
-                c, d = np.maximum(a, np.searchsorted(v, p, side="left")), np.maximum(a, np.searchsorted(v, p, side="right"))
-                nums = zip(aimed, (upto[c] - upto[a]).tolist(), (upto[d] - upto[c]).tolist(), (upto[b] - upto[d]).tolist(), a.tolist(), b.tolist(), c.tolist(), d.tolist())
-                for t, less, equal, more, a1, b1, c1, d1 in nums:
-                    h = held.setdefault(t, [0, 0, 0, [], [], [], []])
-                    h[0] += less
-                    h[1] += equal
-                    h[2] += more
-                    if c1 > a1:
-                        h[3].append(int(v[(a1 + c1 - 1) // 2]))
-                        h[4].append(c1 - a1)
-                    if b1 > d1:
-                        h[5].append(int(v[(d1 + b1 - 1) // 2]))
-                        h[6].append(b1 - d1)
-                if len(held) >= HELD_RANGES:
-                    yield flush()
+            at = codes.offsets.to_numpy().astype(np.int64)
+            flat, times = codes.values.to_numpy(), counts.values.to_numpy()
+            upto = np.append(0, np.cumsum(times))
+            aimed = [[t for g in ids for t in targets_of.get(g, ())] for ids in batch["ids"].to_pylist()]
+            t = np.array([x for a in aimed for x in a], np.int64)
+            if not len(t):
+                continue
+            piece = np.repeat(np.arange(len(aimed)), [len(a) for a in aimed])
+            start, end = at[piece], at[piece + 1]
+            a, b = _search(flat, start, end, low[t], True), _search(flat, start, end, high[t], False)
+            c = np.maximum(a, _search(flat, start, end, pivot[t], False))
+            d = np.maximum(a, _search(flat, start, end, pivot[t], True))
+            some = len(flat) - 1
+            held.append(np.stack([t, upto[c] - upto[a], upto[d] - upto[c], upto[b] - upto[d], flat[np.clip((a + c - 1) // 2, 0, some)], c - a, flat[np.clip((d + b - 1) // 2, 0, some)], b - d]))
+            if sum(x.shape[1] for x in held) >= HELD_RANGES:
+                yield flush()
         if held:
             yield flush()
 
