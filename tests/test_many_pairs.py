@@ -110,3 +110,23 @@ def test_extend_xdrop_of_many_parts(spark, tmp_path):
     for r in texts:
         x = got[r.p_partkey]
         assert (x.score, (x.q_end, x.t_end)) == _slow_extension(r.query, r.target, mapping_queries.SCORES, 30, 10, 15)
+
+
+def test_extend_back_many_mirrors_extend_many():
+    pairs = _extension_pairs(random.Random(33))
+    s = dp.Scores.named("long_read", insertion=5, deletion=5)
+    for (q, t), a in zip(pairs, dp.extend_back_many([q for q, _ in pairs], [t for _, t in pairs], s)):
+        score, (i, j) = _slow_extension(q[::-1], t[::-1], s, 30, 10, 15)
+        assert (a.score, a.q_start, a.t_start, a.q_end, a.t_end) == (score, len(q) - i, len(t) - j, len(q), len(t))
+        assert dp.rescore(q, t, a, s) == a.score
+
+
+def test_extend_xdrop_back_of_many_parts(spark, tmp_path):
+    texts = _many_parts(spark, tmp_path)
+    began = time.time()
+    got = {r.p_partkey: r for r in mapping_queries.QUERIES["extend_xdrop_back"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 40
+    assert len(got) == 12_000 and len(texts) == 12
+    for r in texts:
+        x, (score, (i, j)) = got[r.p_partkey], _slow_extension(r.query[::-1], r.target[::-1], mapping_queries.SCORES, 30, 10, 15)
+        assert (x.score, x.q_start, x.t_start, x.q_end, x.t_end) == (score, len(r.query) - i, len(r.target) - j, len(r.query), len(r.target))
